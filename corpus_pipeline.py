@@ -9,6 +9,7 @@ from sluiceworks.llm import pipeline
 #: (name, function); each function takes (spark, docs, sf_dir). All but the last return the columns of documents.
 STAGES = [
     ("quality_rules", pipeline.quality_rules),
+    ("language_id", pipeline.language_id),
     ("best_fit_packing", pipeline.best_fit_packing),
 ]
 

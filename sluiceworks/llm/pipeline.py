@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id as languages
 from . import packing
 from . import quality_rules as rules
 from .queries import VOCABULARY
@@ -24,6 +26,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return only(docs, rules.quality_rules(docs).filter("kept"))
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: those without a letter go, and those whose letters no language holds a quarter of."""
+    found = languages.language_id(docs, languages.fit(docs))
+    return only(docs, found.filter((F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= 0.25)))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places."""
     return packing.best_fit_packing(docs, VOCABULARY)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, quality_rules, token_counts
+from . import html_extraction, language_id, media, packing, quality_classifier, quality_rules, token_counts
 from .bpe import bpe_round_trip
 from .shared import new_path
 
@@ -22,10 +22,24 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), VOCABULARY)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_classifier.quality_classifier(docs, quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.html_extraction(spark.read.parquet(f"{sf_dir}/pages.parquet"), html_extraction.trained())
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.language_id(docs, language_id.fit(docs))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.rollup_of(documents(spark, sf_dir), new_path(spark, "token-counts"), VOCABULARY, "byte_bpe_50k")
 
@@ -38,6 +52,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe, op5_media_columns, op8_token_counts, op9_best_fit_packing, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe, op4_quality_classifier, op5_media_columns, op6_html_extraction, op7_language_id, op8_token_counts, op9_best_fit_packing, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {"op10_quality_rules": quality_rules.oracle_sql()}
