@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import language_id as languages
 from . import packing
 from . import quality_rules as rules
+from . import suffix_dedup as repeats
 from .queries import VOCABULARY
 from .shared import written
 
@@ -32,6 +33,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return only(docs, found.filter((F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= 0.25)))
 
 
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the passages that an earlier one has; n_chars follows the text."""
+    return repeats.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places."""
     return packing.best_fit_packing(docs, VOCABULARY)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,3 +27,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs whose results are written: its cleaner follows the JVM's collector."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
