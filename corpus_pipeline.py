@@ -10,6 +10,7 @@ from sluiceworks.llm import pipeline
 STAGES = [
     ("quality_rules", pipeline.quality_rules),
     ("language_id", pipeline.language_id),
+    ("jaccard_join", pipeline.jaccard_join),
     ("suffix_array_dedup", pipeline.suffix_array_dedup),
     ("best_fit_packing", pipeline.best_fit_packing),
 ]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jaccard_join as similar
 from . import language_id as languages
 from . import packing
 from . import quality_rules as rules
@@ -33,6 +34,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return only(docs, found.filter((F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= 0.25)))
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group that links hold together; a repeated row stays once."""
+    return only(docs, similar.jaccard_classes(docs).filter("component_id = doc_id")).dropDuplicates(["doc_id"])
+
+
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the passages that an earlier one has; n_chars follows the text."""
     return repeats.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, language_id, media, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
+from . import html_extraction, jaccard_join, language_id, media, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
 from .bpe import bpe_round_trip
 from .shared import new_path
 
@@ -18,6 +18,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(documents(spark, sf_dir))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
 
@@ -56,6 +60,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_suffix_dedup, op3_bpe, op4_quality_classifier, op5_media_columns, op6_html_extraction, op7_language_id, op8_token_counts, op9_best_fit_packing, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_suffix_dedup, op3_bpe, op4_quality_classifier, op5_media_columns, op6_html_extraction, op7_language_id, op8_token_counts, op9_best_fit_packing, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {"op10_quality_rules": quality_rules.oracle_sql()}
