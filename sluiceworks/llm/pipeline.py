@@ -25,7 +25,9 @@ def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule."""
-    return only(docs, rules.quality_rules(docs).filter("kept"))
+    # Aggregated before the filter: a filter right on the projection would be pushed into it, array steps and all.
+    verdicts = rules.quality_rules(docs).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"))
+    return only(docs, verdicts.filter("kept"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
