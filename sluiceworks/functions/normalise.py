@@ -7,10 +7,11 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import vocab as V
 
-SCHEMA = "text string, has_obfuscation boolean, too_long boolean"
+SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("has_obfuscation", T.BooleanType()), T.StructField("too_long", T.BooleanType())])
 
 
 def _set(ranges: list[tuple[int, int]]) -> re.Pattern[str]:
@@ -20,7 +21,7 @@ def _set(ranges: list[tuple[int, int]]) -> re.Pattern[str]:
 OBFUSCATION, COMBINING = _set(V.OBFUSCATION), _set(V.COMBINING)
 LOOKALIKES = {ord(a): b for keys, values in V.LOOKALIKES.items() for a, b in zip(keys, values, strict=True)}
 #: White space as Unicode defines it; Python's own class also has U+001C to U+001F.
-BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _SEPARATED = re.compile(f"[0-9A-Za-z{re.escape(V.SEPARATORS)}]+")
 _SEPARATOR = re.compile(f"(?<=[0-9A-Za-z])[{re.escape(V.SEPARATORS)}](?=[0-9A-Za-z])")
 _SEGMENT = re.compile("[0-9A-Za-z]+")
