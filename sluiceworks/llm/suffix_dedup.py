@@ -444,12 +444,13 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeats taken out of their texts; a character that loses some of its bytes goes as a whole."""
     found = repeated_spans(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    found = found.withColumnRenamed("doc_id", "_doc").groupBy("_doc").agg(F.collect_list("spans").alias("_spans"))
+    key, blobs_ = (next(n for n in ("_" * k + name for k in range(1, 99)) if n not in docs.columns) for name in ("doc", "spans"))
+    found = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("spans").alias(blobs_))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else kept(t.encode(), s)[0].decode("utf-8", errors="ignore") if s else t for t, s in zip(batch.column(text).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
-            names = [n for n in batch.schema.names if n not in ("_spans", "_doc")]
+            texts = [None if t is None else kept(t.encode(), s)[0].decode("utf-8", errors="ignore") if s else t for t, s in zip(batch.column(text).to_pylist(), batch.column(blobs_).to_pylist(), strict=True)]
+            names = [n for n in batch.schema.names if n not in (key, blobs_)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else batch.column(n) for n in names], names)
 
-    return docs.join(found, F.col(doc_id) == F.col("_doc"), "left").mapInArrow(cut, docs.schema)
+    return docs.join(found, docs[doc_id] == found[key], "left").mapInArrow(cut, docs.schema)
