@@ -26,7 +26,7 @@ from .ragged import SpanHash, chunks, spread
 #: Distinct pieces a worker remembers; beyond that it starts anew. It bounds memory and changes no result.
 MOST_PIECES = 1_000_000
 #: UTF-8 bytes encoded at once.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: The contractions that the pre-tokenizer pattern names, in its order.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")

@@ -29,7 +29,7 @@ BUCKETS = 1 << 16
 FIT_ROWS = 20_000
 #: Log-probability units that a change of language costs.
 SWITCH = 12.0
-CHUNK = 8 << 20
+CHUNK = 1 << 20
 
 #: Ranges of code points by script; what is in none of them is script 0.
 SCRIPTS = [
