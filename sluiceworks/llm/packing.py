@@ -1,8 +1,8 @@
 """Packing token pieces into sequences: a configuration linear program over the length histogram.
 
 Only the histogram (at most `capacity` counts) reaches the driver. Multiplicative weights with an unbounded
-knapsack as pricing choose configurations and how often to use each; what rounding leaves over is packed by
-best fit, still on the histogram. The plan is a short table of runs, and each piece finds its place in it by
+knapsack as pricing choose configurations and how often to use each; rounding is repeated on what it leaves,
+and its last remainder is packed by best fit, still on the histogram. The plan is a short table of runs, and each piece finds its place in it by
 its rank among the pieces of its length, which is counted in salted groups.
 
 Null texts count as empty: one piece with the end token only. Repeated rows are packed as often as they occur.
@@ -26,6 +26,10 @@ from .shared import written
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length that one group ranks.
 GROUP = 50_000
+#: Share of a length's demand below which its row counts as covered.
+OPEN = 0.01
+#: Share of a sequence that a configuration must fill to be used by rounding.
+FULL = 0.995
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -49,25 +53,36 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 
 
-def knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths within the capacity with the most value; any length may repeat."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(int(lengths[0]), capacity + 1):
-        k = int(np.searchsorted(lengths, c, side="right"))
-        gain = value[:k] + best[c - lengths[:k]]
-        j = int(gain.argmax())
-        if gain[j] > best[c - 1]:
-            best[c], pick[c] = gain[j], j
-        else:
-            best[c] = best[c - 1]
-    out, c = Counter(), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            out[int(lengths[pick[c]])] += 1
-            c -= int(lengths[pick[c]])
-    return out
+class Knapsack:
+    """The most value within every capacity up to the given one; any length may repeat."""
+
+    def __init__(self, lengths: np.ndarray, value: np.ndarray, capacity: int):
+        self.lengths, self.value, self.capacity = lengths, value, capacity
+        self.best, self.pick, self.end = np.zeros(capacity + 1), np.full(capacity + 1, -1), np.zeros(capacity + 1, np.int64)
+        for c in range(int(lengths[0]), capacity + 1):
+            k = int(np.searchsorted(lengths, c, side="right"))
+            gain = value[:k] + self.best[c - lengths[:k]]
+            j = int(gain.argmax())
+            if gain[j] > self.best[c - 1]:
+                self.best[c], self.pick[c], self.end[c] = gain[j], j, c
+            else:  # as good with less room: the last length ends there
+                self.best[c], self.end[c] = self.best[c - 1], self.end[c - 1]
+
+    def chosen(self, capacity: int) -> Counter:
+        """The multiset of lengths with the most value within this capacity."""
+        out, c = Counter(), int(self.end[capacity])
+        while c:
+            length = int(self.lengths[self.pick[c]])
+            out[length] += 1
+            c = int(self.end[c - length])
+        return out
+
+    def priced(self) -> Iterator[Counter]:
+        """For each length the best configuration that holds it, the most valuable first."""
+        total = self.value + self.best[self.capacity - self.lengths]
+        for j in np.argsort(-total, kind="stable").tolist():
+            length = int(self.lengths[j])
+            yield self.chosen(self.capacity - length) + Counter({length: 1})
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[int, Counter]]:
@@ -98,46 +113,59 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[int, Counter]]:
     return [(n, c) for n, c, _ in groups]
 
 
-def plan(histogram: dict[int, int], capacity: int = 2048, rounds: int = 200, rate: float = 0.5) -> list[tuple[int, Counter]]:
+def fractional(demand: dict[int, int], capacity: int, rounds: int, step: float, rate: float) -> dict[frozenset, float]:
+    """How often to use which configurations, by multiplicative weights on the program's covering rows.
+
+    A row is a length; its weight starts at its share of a sequence and shrinks with the part of its demand that
+    is covered. A round prices configurations by one knapsack over the rows that are open, and uses each for a
+    part of what is open in its scarcest row.
+    """
+    uses: dict[frozenset, float] = {}
+    lengths = np.array(sorted(demand), dtype=np.int64)
+    need = np.array([demand[k] for k in lengths.tolist()], dtype=np.float64)
+    open_ = need.copy()
+    place = np.zeros(capacity + 1, np.int64)
+    place[lengths] = np.arange(len(lengths))
+    for _ in range(rounds):
+        rows = np.flatnonzero(open_ > need * OPEN)
+        if not len(rows):
+            break
+        covered = 1 - open_[rows] / need[rows]
+        weight = lengths[rows] / capacity * np.exp(-rate * (covered - covered.min()))
+        for config in Knapsack(lengths[rows], weight, capacity).priced():
+            at, copies = place[list(config)], np.array(list(config.values()), dtype=np.float64)
+            times = step * float((open_[at] / copies).min())
+            if times > 0.05:
+                key = frozenset(config.items())
+                uses[key] = uses.get(key, 0.0) + times
+                open_[at] -= times * copies
+    return uses
+
+
+def plan(histogram: dict[int, int], capacity: int = 2048, phases: int = 8, rounds: int = 30, step: float = 0.5, rate: float = 2.0) -> list[tuple[int, Counter]]:
     """Bins as (how many, lengths in each) that hold exactly the histogram.
 
-    Every round prices the lengths by their weight, takes the best configuration, uses it for a part of what
-    is left of its scarcest length, and lowers the weights of the lengths by how far they are covered.
+    Each phase solves the program for what is left and rounds it: the most used configurations come first, each
+    as often as the solution says, rounded up, while what is left allows it. The remainder that no whole
+    configuration of the last phase fits is packed by best fit, as rounding leaves it.
     """
     left = {k: n for k, n in histogram.items() if n > 0}
-    uses: list[tuple[int, Counter]] = []
-    if n := left.pop(capacity, 0):
-        uses.append((n, Counter({capacity: 1})))
-    cover = dict.fromkeys(left, 0.0)
-    fractional: dict[frozenset, float] = {}
-    rest = {k: float(n) for k, n in left.items()}
-    for _ in range(rounds):
-        lengths = np.array(sorted(k for k, r in rest.items() if r >= 1), dtype=np.int64)
-        if not len(lengths):
+    bins: list[tuple[int, Counter]] = []
+    for _ in range(phases):
+        placed = 0
+        solution = fractional(left, capacity, rounds, step, rate) if left else {}
+        for key, times in sorted(solution.items(), key=lambda x: (-x[1], sorted(x[0]))):
+            config = Counter(dict(key))
+            n = min([-int(-times // 1), *(left.get(k, 0) // a for k, a in config.items())])
+            if n > 0 and sum(k * a for k, a in config.items()) >= capacity * FULL:
+                bins.append((n, config))
+                placed += n
+                for k, a in config.items():
+                    left[k] -= n * a
+        left = {k: n for k, n in left.items() if n}
+        if not placed:
             break
-        least = min(cover[k] for k in lengths.tolist())
-        value = lengths / capacity * np.exp(-rate * np.array([cover[k] - least for k in lengths.tolist()]) / 16)
-        config = knapsack(lengths, value, capacity)
-        times = min(rest[k] / a for k, a in config.items())
-        if times < 1:  # more copies than there are: what is left is small
-            config = Counter({k: min(a, int(rest[k])) for k, a in config.items()})
-            times = 1.0
-        times = max(1.0, times / 2)
-        key = frozenset(config.items())
-        fractional[key] = fractional.get(key, 0.0) + times
-        for k, a in config.items():
-            rest[k] -= times * a
-            cover[k] += times * a / histogram[k]
-    for key, times in fractional.items():
-        config = Counter(dict(key))
-        times = min([int(times), *(left[k] // a for k, a in config.items())])
-        if times:
-            uses.append((times, config))
-            for k, a in config.items():
-                left[k] -= times * a
-    uses += best_fit({k: n for k, n in left.items() if n}, capacity)
-    plain = best_fit({k: n for k, n in histogram.items() if n > 0}, capacity)
-    return min(uses, plain, key=lambda bins: sum(n for n, _ in bins))
+    return bins + best_fit(left, capacity)
 
 
 def runs(bins: list[tuple[int, Counter]]) -> dict[str, np.ndarray]:

@@ -91,7 +91,7 @@ def test_knapsack_is_best_on_small_cases():
     for _ in range(40):
         lengths = np.array(sorted(r.sample(range(1, 12), 4)))
         value = np.array([r.random() for _ in lengths])
-        best = packing.knapsack(lengths, value, 15)
+        best = packing.Knapsack(lengths, value, 15).chosen(15)
 
         def most(room, lengths=lengths, value=value):
             return max([0.0, *(v + most(room - k) for k, v in zip(lengths.tolist(), value.tolist(), strict=True) if k <= room)])
