@@ -176,10 +176,13 @@ class RTree:
         self.least_n = np.array([n[x].min() for x in leaves])
         self.most_n = np.array([n[x].max() for x in leaves])
 
-    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Each leaf with the points of leaves whose boxes allow a pair, itself and later ones: (leaf, points, which pairs)."""
+    def blocks(self, of: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Each leaf with the points of leaves whose boxes allow a pair, itself and later ones: (leaf, points, which pairs).
+
+        With `of`, only where either leaf has one of these points."""
+        has = np.array([of is None or of[x].any() for x in self.leaves])
         for i, leaf in enumerate(self.leaves):
-            near = (100 * self.most_n[i:] >= LEAST * self.least_n[i]) & (100 * self.most_n[i] >= LEAST * self.least_n[i:])
+            near = (has[i] | has[i:]) & (100 * self.most_n[i:] >= LEAST * self.least_n[i]) & (100 * self.most_n[i] >= LEAST * self.least_n[i:])
             others = i + np.flatnonzero(near)
             others = others[allowed(self.most[i], self.most[others], self.least_n[i], self.least_n[others])]
             for lo in range(0, len(others), 256):
@@ -202,6 +205,7 @@ def ask(n: np.ndarray, fine: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.
     """Each point with the first leader that its counts allow, and every point without one with some allowed partner."""
     counts = np.array([folded(x, GROUPS) for x in fine])
     left = np.argsort(np.abs(counts - counts.mean(0)).sum(1), kind="stable")
+    alone = np.ones(len(n), dtype=bool)
     while len(left) > 1:
         leader, rest = left[0], left[1:]
         near = np.flatnonzero(allowed(counts[leader], counts[rest], n[leader], n[rest]))
@@ -211,12 +215,12 @@ def ask(n: np.ndarray, fine: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.
                 break
             left = rest
             continue
+        alone[leader] = alone[rest[near]] = False
         yield np.full(len(near), leader), rest[near]
         left = np.delete(rest, near)
-    if len(left) > LEAF:  # nobody leads many of these: look for one partner of each among all
-        alone = np.zeros(len(n), dtype=bool)
-        alone[left] = True
-        for leaf, right, ok in RTree(counts, n).blocks():
+    # Leaders took points away from those still alone: look for one partner of each among all, taken ones included.
+    if alone.any() and (len(left) > 1 or not alone.all()):
+        for leaf, right, ok in RTree(counts, n).blocks(alone):
             for i, j in zip(*np.nonzero(ok & (alone[leaf][:, None] | alone[right])), strict=True):
                 x, y = leaf[i], right[j]
                 if (alone[x] or alone[y]) and finely(np.array([x]), np.array([y]), n, fine)[0]:

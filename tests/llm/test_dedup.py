@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from sluiceworks.llm.jaccard_join import first_few, jaccard_classes
+from sluiceworks.llm.jaccard_join import allowed, ask, first_few, jaccard_classes
 from sluiceworks.llm.lyndon import suffix_array
 from sluiceworks.llm.suffix_dedup import suffix_dedup, without_repeats
 
@@ -63,6 +64,38 @@ def test_jaccard_links_at_exactly_the_threshold(spark):
     assert got[2] == (9, 1)
 
 
+def test_jaccard_links_of_points_whose_partners_a_leader_took(spark):
+    """Eight texts of a chain in which each differs from the one before by a word or two."""
+    r = random.Random(164)
+    vocabulary = [f"w{i}" for i in range(400)]
+    words, chain = [r.choice(vocabulary) for _ in range(70)], []
+    for _ in range(8):
+        chain.append(" ".join(words))
+        at = r.randrange(8, 70)
+        words[at] = r.choice(vocabulary)
+        if r.random() < 0.5:
+            word = r.choice(vocabulary)
+            words[r.randrange(8, 70)] = word
+    r.shuffle(chain)
+    rows = list(enumerate(chain, 1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(cases.frame(spark, rows)).collect()}
+    assert got == cases.classes(rows)
+
+
+@pytest.mark.parametrize("size", [3, 8, 16, 40, 90])
+def test_ask_names_every_point_with_an_allowed_partner(size):
+    r = np.random.default_rng(size)
+    for _ in range(40):
+        counts = np.zeros((size, 64), np.int64)
+        for row in counts:
+            k = r.integers(0, 40)
+            row[:2] = 100 - k, k
+        n = counts.sum(1)
+        named = {int(i) for x, y in ask(n, list(counts)) for i in (*x, *y)}
+        ok = allowed(counts[:, None], counts[None], n[:, None], n[None]) & ~np.eye(size, dtype=bool)
+        assert named == set(np.flatnonzero(ok.any(1)).tolist())
+
+
 def test_first_few_cover_what_a_similar_set_may_lack():
     for n in range(1, 500):
         assert first_few(n) == n - min(k for k in range(n + 1) if 100 * k >= 80 * n) + 1
