@@ -24,11 +24,15 @@ from pyspark.sql import functions as F
 
 from .html_pages import pages as labelled_pages
 
+#: Elements of formulas; they stay in the line. What an annotation holds is the formula's source, not its text.
+MATH = set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml".split())
 #: Elements that stay inside the block around them.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img br label input".split())
+INLINE = MATH | set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img br label input".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without text of the page.
-SILENT = set("script style noscript template svg head title iframe object select option textarea button datalist math canvas audio video map".split())
+SILENT = set("script style noscript template svg head title iframe object select option textarea button datalist canvas audio video map annotation annotation-xml".split())
+#: Elements that may stand in the head; any other one closes it.
+IN_HEAD = set("html head base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSES_P = set("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: What an opening tag closes, and the elements that keep it from reaching further up.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -64,7 +68,15 @@ class Dom(HTMLParser):
                 self.blocks.append((self.block, text))
             self.run = []
 
+    def close_head(self) -> None:
+        if self.open and self.open[-1][0] == "head":
+            self.pop()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body":
+            self.close(("head",), set())
+        elif tag not in IN_HEAD:
+            self.close_head()
         if tag in CLOSES_P:
             self.close(("p",), {"table", "td", "th", "button", "object"})
         if tag in SIBLINGS:
@@ -75,6 +87,7 @@ class Dom(HTMLParser):
             if tag not in VOID:
                 self.open.append((tag, -1))
                 self.links += tag == "a"
+                self.silent += tag in SILENT
             return
         self.end_run()
         names = [w for k, v in attrs if k in ("class", "id", "role") and v for w in NAME.findall(v.lower())]
@@ -85,16 +98,18 @@ class Dom(HTMLParser):
             self.silent += tag in SILENT
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML
+        self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML, but it does in formulas
+        if tag in MATH:
+            self.pop()
 
     def pop(self) -> None:
         tag, node = self.open.pop()
         if node >= 0:
             self.end_run()
             self.block = self.nodes[node].parent
-            self.silent -= tag in SILENT
         else:
             self.links -= tag == "a"
+        self.silent -= tag in SILENT
 
     def close(self, tags: tuple[str, ...] | set[str], stop: set[str], every: bool = False) -> None:
         at, k = -1, len(self.open) - 1
@@ -115,6 +130,8 @@ class Dom(HTMLParser):
         self.close(tags, set() if tag not in INLINE else {t for t in CLOSES_P if t not in tags} | {"td", "th", "li"})
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.close_head()
         if self.silent:
             return
         self.run.append(data)

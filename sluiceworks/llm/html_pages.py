@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+import re
 
+#: End tags that HTML lets a page leave out where these stand.
+OPTIONAL = re.compile(r"</(?:head|li|td|tr|body|html)>|</p>(?=<(?:p|ul|ol|div|h[1-6]|table|section|blockquote|pre|figure|article|aside|footer|header|nav|form|main)\b|</(?:article|main|div|section|blockquote|aside|footer|header|li|form)>)")
 SYLLABLES = "ba de fi go lu ma ne po ra si to vu an el in or us ta ke mi".split()
 
 
@@ -94,7 +97,12 @@ def page(r: random.Random) -> str:
     if r.random() < 0.3:
         article = r.choice([f"<main y>{article}{boiler(r) if r.random() < 0.5 else ''}</main>", f'<div y class="container">{article}</div>', f'<div y id="page">{boiler(r)}{article}</div>'])
     before, after = ("".join(boiler(r) for _ in range(r.randint(0, 4))) for _ in range(2))
-    return f"<!DOCTYPE html><html y><head><title>{word(r)}</title><style>p{{}}</style></head><body y>{before}{article}{after}<script>x(0)</script></body></html>"
+    whole = f"<!DOCTYPE html><html y><head><title>{word(r)}</title><style>p{{}}</style></head><body y>{before}{article}{after}<script>x(0)</script></body></html>"
+    return without_optional_ends(whole) if r.random() < 0.25 else whole
+
+
+def without_optional_ends(html: str) -> str:
+    return OPTIONAL.sub("", html)
 
 
 def pages(n: int, seed: int = 1) -> list[str]:

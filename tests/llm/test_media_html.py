@@ -4,7 +4,7 @@ import zlib
 import pytest
 
 from sluiceworks.llm import html_extraction, media
-from sluiceworks.llm.html_pages import pages
+from sluiceworks.llm.html_pages import pages, without_optional_ends
 
 from . import cases
 
@@ -90,6 +90,21 @@ def test_article_of_a_page():
     assert main_text(html) == "Title & more\nFirst text.\nSecond é text here."
 
 
+def test_pages_without_optional_end_tags():
+    made = pages(150, 78)
+    assert any("</head>" not in h for h in made)
+    read = lambda h: [(d.nodes[n].tag, d.nodes[n].mark, t) for d in [html_extraction.parse(h)] for n, t in d.blocks]
+    assert all(read(without_optional_ends(h)) == read(h) for h in made)
+    for start in ("<head><title>T</title><body>", "<head><title>T</title>", "<head><meta charset=x><noscript><img src=x></noscript><body>"):
+        assert main_text(f"<html>{start}<article><h1>Title</h1><p>First text of it, with words.<p>Second text here.</article>") == "Title\nFirst text of it, with words.\nSecond text here."
+    assert html_extraction.parse("<head><title>T</title> \n text").blocks == [(0, "text")]
+
+
+def test_formulas_in_the_line():
+    html = "<article><h1>Title</h1><p>The sum <math><semantics><mrow><mi>a</mi><mo>+</mo><mspace/><mn>1</mn></mrow><annotation>a+1 source</annotation></semantics></math> is less than the other one.</p></article>"
+    assert main_text(html) == "Title\nThe sum a+1 is less than the other one."
+
+
 def test_damaged_and_empty_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>just a paragraph of text that stands alone, with words</p"), (4, "u", "</div></p><<<&am"), (5, "u", "<ul>" * 300 + "x")]
     out = html_extraction.html_extraction(spark.createDataFrame(rows, "page_id long, url string, html string"), MODEL).collect()
