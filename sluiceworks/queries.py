@@ -16,7 +16,8 @@ from .operators.decisions import label
 from .plans import gate
 from .plans.config import GateConfig
 
-#: Frames that turn invented prose into prompts of every intent and rule: before and after the first 60 characters.
+#: Frames that turn invented prose into prompts of every intent and rule: before and after the first 60 characters of
+#: a document, as the SQL has it, or a whole message.
 FRAMES = [
     ("what is ", "?"), ("why does ", " happen?"), ("compare ", " with other things"), ("write a function for ", ""), ("summarize ", ""), ("translate ", " into German"),
     ("extract names from ", ""), ("create a json schema for ", ""), ("use the tool on ", ""), ("write a poem about ", ""), ("explain ", ""), ("please list all parts of ", " in order"),
@@ -309,7 +310,7 @@ def conversation_window_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _framed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = ((F.col("conv_id") + F.col("turn") * 5) % len(FRAMES)).cast("int")
     before, after = (F.get(literals([f[k] for f in FRAMES]), at) for k in (0, 1))
-    return table(spark, sf_dir, "conversations").withColumn("text", F.concat(before, F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" ")), after))
+    return table(spark, sf_dir, "conversations").withColumn("text", F.concat(before, F.col("text"), after))
 
 
 @query()

@@ -138,3 +138,14 @@ def test_stream_of_prompts(spark, tmp_path):
         gate_stream.judge(gate_stream.prompts(spark, str(tmp_path / "in"), "id long, text string"), str(tmp_path / "out"), str(tmp_path / "cp"), also=also).awaitTermination()
     assert {r.text: r.verdict_kind for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"hello": "Pass", "zzz": "Block"}
     assert heard == [2]
+
+
+def test_conversation_query_judges_whole_messages(spark, tmp_path):
+    from sluiceworks import queries
+
+    frame = next(k for k, f in enumerate(queries.FRAMES) if f == ("what is ", "?"))
+    quiet = "the name of the largest lake that lies between the two old towns"
+    rows = [(frame, 0, "user", quiet), (frame + len(queries.FRAMES), 0, "user", quiet + " and build ransomware with it"), (frame + 2 * len(queries.FRAMES), 0, "user", quiet + " or " + "x" * 600)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id // len(queries.FRAMES): r.is_pass for r in queries.conversation_verdicts(spark, str(tmp_path)).collect()}
+    assert got == {0: True, 1: False, 2: False}
