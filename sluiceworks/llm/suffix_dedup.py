@@ -297,7 +297,8 @@ def common(anchor: np.ndarray, sides: np.ndarray, size: np.ndarray) -> np.ndarra
     wide = np.zeros((len(sides), 32), np.uint8)
     wide[:, : sides.shape[1]] = sides
     words = wide.view(">u8").astype(np.uint64)
-    by = np.lexsort((*words.T[::-1], anchor))
+    # By size last: of contexts that padding makes equal, the shorter one must not stand between longer ones.
+    by = np.lexsort((size, *words.T[::-1], anchor))
     a, s, n = anchor[by], sides[by], size[by]
     same = np.cumprod(s[1:] == s[:-1], axis=1).sum(1)
     same = np.where(a[1:] == a[:-1], np.minimum(same, np.minimum(n[1:], n[:-1])), -1)

@@ -5,7 +5,7 @@ import pytest
 
 from sluiceworks.llm.jaccard_join import allowed, ask, first_few, jaccard_classes
 from sluiceworks.llm.lyndon import suffix_array
-from sluiceworks.llm.suffix_dedup import suffix_dedup, without_repeats
+from sluiceworks.llm.suffix_dedup import common, suffix_dedup, without_repeats
 
 from . import cases
 
@@ -39,6 +39,15 @@ def test_suffix_dedup_of_passages_cut_anywhere(spark):
     assert got == cases.removed(rows)
 
 
+def test_common_bytes_of_contexts_with_nul_bytes():
+    r = random.Random(5)
+    for made in [[b"ab\0", b"ab", b"ab\0"], *([bytes(r.choice(b"\0\0a") for _ in range(r.randint(0, 5))) for _ in range(r.randint(2, 9))] for _ in range(300))]:
+        sides = np.array([list(x.ljust(6, b"\0")) for x in made], np.uint8)
+        share = lambda x, y: next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+        expected = [max(share(x, y) for j, y in enumerate(made) if j != i) for i, x in enumerate(made)]
+        assert common(np.zeros(len(made), np.int64), sides, np.array([len(x) for x in made])).tolist() == expected
+
+
 def test_without_repeats_keeps_columns_and_rows(spark):
     passage = "a passage of over fifty bytes that several documents have in common, word by word"
     rows = [(1, f"one {passage} end"), (2, f"two {passage} stop"), (3, None), (4, "short")]
