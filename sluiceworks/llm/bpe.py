@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index over whole Arrow batches.
 
-Encoding cuts a batch into pieces with array operations, keeps each distinct piece once, and merges all
+Encoding cuts a batch into pieces with array operations, keeps each distinct piece once (their bytes are compared), and merges all
 new pieces of the batch together: an index maps each mergeable pair to every position that holds it, the
 active ranks are applied in ascending order, and each application updates the lists of the pairs it touches.
 Null texts count as empty and give no ids; equal texts give equal ids.
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import SpanHash, chunks, spread
+from .ragged import chunks, numbered, spread
 
 #: Distinct pieces a worker remembers; beyond that it starts anew. It bounds memory and changes no result.
 MOST_PIECES = 1_000_000
@@ -128,7 +128,7 @@ class Bpe:
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # piece hashes, sorted
+        self.known: dict[bytes, int] = {}  # pieces to rows of place and count
         self.place = np.zeros(0, np.int64)  # of their ids in flat
         self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int64)
@@ -204,15 +204,21 @@ class Bpe:
         left = np.flatnonzero(alive[:n])
         return sym[left], np.diff(np.searchsorted(left, np.append(0, ends)))
 
-    def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
-        if len(self.known) + len(hashes) > MOST_PIECES:
-            self.forget()
+    def learn(self, pieces: list[bytes]) -> None:
         ids, count = self.merge(pieces)
         place = len(self.flat) + np.cumsum(count) - count
-        self.flat = np.concatenate([self.flat, ids])
-        known = np.concatenate([self.known, hashes])
-        by = np.argsort(known, kind="stable")
-        self.known, self.place, self.count = known[by], np.concatenate([self.place, place])[by], np.concatenate([self.count, count])[by]
+        self.known.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
+        self.flat, self.place, self.count = np.concatenate([self.flat, ids]), np.concatenate([self.place, place]), np.concatenate([self.count, count])
+
+    def rows(self, pieces: list[bytes]) -> np.ndarray:
+        """The rows of distinct pieces; those not yet known are merged together."""
+        new = [p for p in pieces if p not in self.known]
+        if new:
+            if len(self.known) + len(new) > MOST_PIECES:
+                self.forget()
+                new = pieces
+            self.learn(new)
+        return np.array([self.known[p] for p in pieces], dtype=np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and n + 1 offsets."""
@@ -240,23 +246,13 @@ class Bpe:
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
         cps = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         start = piece_starts(cps, ends)
-        end = np.append(start[1:], len(cps))
-        hashes = SpanHash(cps.astype(np.uint64) + np.uint64(1))(start, end)
-        by = np.argsort(hashes)
-        ordered = hashes[by]
-        new = np.append(True, ordered[1:] != ordered[:-1])
-        distinct, where, inverse = ordered[new], by[new], np.empty(len(by), np.int64)
-        inverse[by] = np.cumsum(new) - 1
-        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-        new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), dtype=bool)
-        if new.any():
-            if len(self.known) + int(new.sum()) > MOST_PIECES:
-                self.forget()
-                new[:] = True
-            self.learn(distinct[new], [text[a:b].encode() for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)])
-            at = np.searchsorted(self.known, distinct)
-        count = self.count[at][inverse]
-        ids = self.flat[spread(self.place[at][inverse], count)]
+        raw = text.encode()
+        at_byte = np.append(0, np.cumsum(1 + (cps >= 0x80) + (cps >= 0x800) + (cps >= 0x10000), dtype=np.int64))
+        begin, end = at_byte[start], np.append(at_byte[start[1:]], len(raw))
+        where, number = numbered(np.frombuffer(raw, dtype=np.uint8), begin, end)
+        row = self.rows([raw[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)])[number]
+        count = self.count[row]
+        ids = self.flat[spread(self.place[row], count)]
         upto = np.append(0, np.cumsum(count))
         return ids, upto[np.append(0, np.searchsorted(start, ends))]
 

@@ -48,13 +48,13 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((n, TERMS), dtype=np.float32)
     if not len(start):
         return out
-    low = SpanHash(lower_ascii(data).astype(np.uint64) + np.uint64(1))(start, end)
+    low = SpanHash(lower_ascii(data))(start, end)
     # A shape keeps one of each run of equal classes inside a word.
     kind = shape_classes()[data]
     keep = np.append(True, kind[1:] != kind[:-1])
     keep[start] = True
     upto = np.append(0, np.cumsum(keep))
-    shape = SpanHash(kind[keep].astype(np.uint64) + np.uint64(1))(upto[start], upto[end])
+    shape = SpanHash(kind[keep])(upto[start], upto[end])
     inner = doc[1:] == doc[:-1]
 
     def add(base: int, width: int, owner: np.ndarray, hashes: np.ndarray) -> None:

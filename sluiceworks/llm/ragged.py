@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,36 +25,74 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(n: int, of: int = int(BASE)) -> np.ndarray:
-    """of**0 .. of**(n-1) modulo 2**64; the longest so far is kept in the worker."""
-    have = _POWERS.get(of)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16) * 5 // 4, of, dtype=np.uint64)
-        have[0] = 1
-        _POWERS[of] = have = np.multiply.accumulate(have)
-    return have[:n]
+#: Spans of up to so many bytes are hashed together; longer ones one by one.
+LONG = 96
 
 
 class SpanHash:
-    """Hashes of slices of one integer array by wrapped prefix sums; equal slices have equal hashes anywhere.
+    """Hashes of slices of one byte array; equal slices have equal hashes anywhere.
 
-    The prefix sum weights position i by BASE**i; a slice's sum is brought to weight 0 by the inverse power.
+    Eight bytes at a time go through the finalizer with what came before, so no algebraic structure of the bytes
+    survives; slices of more than LONG bytes are hashed by BLAKE2.
     """
 
-    INV = pow(int(BASE), -1, 1 << 64)
-
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        self.sum = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(values * powers(n), out=self.sum[1:])
-        self.inv = powers(n + 1, self.INV)
+    def __init__(self, data: np.ndarray):
+        self.data = np.ascontiguousarray(data, dtype=np.uint8)
+        at = np.zeros(len(data) + 8, dtype=np.uint64)
+        at[: len(data)] = self.data
+        for n in (1, 2, 4):
+            at[:-n] |= at[n:] << np.uint64(8 * n)
+        self.eight = at  # the eight bytes from each place on, little-endian
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sum[end] - self.sum[start]) * self.inv[start]
-        return mix(h + (end - start).astype(np.uint64) * M2)
+        size = end - start
+        h = mix(size.astype(np.uint64) * M2 + BASE)
+        live = np.flatnonzero((size > 0) & (size <= LONG))
+        done = 0
+        while len(live):
+            left = size[live] - done
+            block = self.eight[start[live] + done]
+            short = left < 8
+            block[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+            h[live] = mix(h[live] * BASE ^ block)
+            done += 8
+            live = live[left > 8]
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]], digest_size=8).digest(), "little")
+        return h
+
+    def same(self, start: np.ndarray, end: np.ndarray, start2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+        """Which slices have the same bytes as the slices beside them."""
+        size = end - start
+        out = size == end2 - start2
+        live = np.flatnonzero(out & (size > 0) & (size <= LONG) & (start != start2))
+        done = 0
+        while len(live):
+            left = np.minimum(size[live] - done, 8).astype(np.uint64)
+            unlike = (self.eight[start[live] + done] ^ self.eight[start2[live] + done]) << ((np.uint64(8) - left) * np.uint64(8))
+            out[live[unlike != 0]] = False
+            done += 8
+            live = live[(unlike == 0) & (size[live] > done)]
+        for i in np.flatnonzero(out & (size > LONG) & (start != start2)).tolist():
+            out[i] = np.array_equal(self.data[start[i] : end[i]], self.data[start2[i] : end2[i]])
+        return out
+
+
+def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which slice stands for each distinct content, and the number of each slice's content; bytes are compared."""
+    spans = SpanHash(data)
+    hashes = spans(start, end)
+    by = np.argsort(hashes, kind="stable")
+    ordered = hashes[by]
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    where, number = by[new], np.empty(len(by), np.int64)
+    number[by] = np.cumsum(new) - 1
+    if not spans.same(start, end, start[where][number], end[where][number]).all():  # two contents have one hash
+        raw, seen = data.tobytes(), {}
+        number = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], dtype=np.int64)
+        where = np.unique(number, return_index=True)[1]
+    return where, number
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -3,8 +3,9 @@
 Every window of SPAN bytes has an anchor: the GRAM bytes in it with the least hash, so equal windows have equal
 anchors. An anchor's context is the text that the windows it stands for cover.
 
-1. Contexts meet by anchor. One that an earlier document has whole is a repeat; this is counted within a task
-   before anything is shuffled, so copies cost a row for each task that sees them.
+1. Contexts meet by anchor. One that an earlier document has whole is a repeat, told by 64 bits of a chained hash
+   of its bytes and at least 56 bits of its anchor's hash; this is counted within a task before anything is
+   shuffled, so copies cost a row for each task that sees them.
 2. Anchors with different contexts in several documents go back to their texts for the bytes. Contexts are cut
    to what they have in common with another one; equal ones count once. What is left is suffix-sorted, bucket
    by bucket: equal windows stand together there, and all but the smallest document's are repeats.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lyndon import suffix_array
-from .ragged import BASE, SpanHash, chunks, mix, spread, utf8
+from .ragged import BASE, SpanHash, chunks, mix, numbered, spread, utf8
 from .shared import release, written
 
 SPAN, GRAM = 50, 24
@@ -34,6 +35,8 @@ REACH = SPAN - GRAM
 SEGMENT, POSITION = 1 << 20, 21
 #: Text whose anchors are gathered before they are sent on, and rows of other kinds.
 FLUSH, ROWS = 16 << 20, 300_000
+#: Bytes of text whose anchors share a bucket; there are 256 buckets at least.
+BUCKET = 8 << 20
 #: Symbols suffix-sorted at once; a group of contexts stays together.
 SORTED = 1 << 18
 SPAN_ROW = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
@@ -78,7 +81,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])))
         last = np.append(new[1:], len(start)) - 1
         anchor, begin, end = at[new], start[new], start[last] + SPAN
-        whole = SpanHash(part.astype(np.uint64) + np.uint64(1))(begin, end)
+        whole = SpanHash(part)(begin, end)
         parts.append((hashes[anchor], mix(whole + (anchor - begin).astype(np.uint64)), doc[new], begin + base, anchor + base, end + base))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
 
@@ -123,11 +126,14 @@ def spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_of_equal(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each row the smallest document among the rows of its key."""
+def least_of_equal(key: np.ndarray, doc: np.ndarray, also: np.ndarray | None = None) -> np.ndarray:
+    """For each row the smallest document among the rows of its key, and of its `also` where that is given."""
     by = np.argsort(key, kind="stable")
-    ordered = key[by]
-    first = np.append(True, ordered[1:] != ordered[:-1])
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = key[by[1:]] != key[by[:-1]]
+    if also is not None and (~first[1:] & (also[by[1:]] != also[by[:-1]])).any():
+        by = np.lexsort((also, key))
+        first[1:] = (key[by[1:]] != key[by[:-1]]) | (also[by[1:]] != also[by[:-1]])
     out = np.empty(len(doc), doc.dtype)
     if len(doc):
         out[by] = np.minimum.reduceat(doc[by], np.flatnonzero(first))[np.cumsum(first) - 1]
@@ -135,25 +141,22 @@ def least_of_equal(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def pack(anchor: np.ndarray, whole: np.ndarray, doc: np.ndarray, start: np.ndarray, left: np.ndarray, size: np.ndarray) -> bytes:
-    """48 bits of each hash as they are (the bucket has the anchor's high bits), the rest compressed."""
-    six = lambda h: np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    """The context hashes and 48 bits of the anchors as they are (the bucket has an anchor's high bits), the rest compressed."""
+    six = np.ascontiguousarray(anchor.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
     rest = np.diff(doc, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() + start.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
     rest += left.astype("u1").tobytes() + size.astype("u1").tobytes()
-    return len(anchor).to_bytes(4, "little") + six(anchor) + six(whole) + zstandard.ZstdCompressor(level=1).compress(rest)
+    return len(anchor).to_bytes(4, "little") + six + whole.astype("<u8").tobytes() + zstandard.ZstdCompressor(level=1).compress(rest)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     n = int.from_bytes(blob[:4], "little")
-
-    def six(at: int) -> np.ndarray:
-        out = np.zeros((n, 8), np.uint8)
-        out[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
-        return out.view("<u8").ravel()
-
-    rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 + 12 * n :]), np.uint8)
+    anchor = np.zeros((n, 8), np.uint8)
+    anchor[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 4).reshape(n, 6)
+    whole = np.frombuffer(blob[4 + 6 * n : 4 + 14 * n], "<u8")
+    rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 + 14 * n :]), np.uint8)
     plane = lambda at, width, kind: np.ascontiguousarray(rest[at : at + width * n].reshape(width, n).T).view(kind).ravel()
     doc = np.cumsum(plane(0, 8, "<i8"))
-    return six(4), six(4 + 6 * n), doc, plane(8 * n, 4, "<u4").astype(np.int64), rest[12 * n : 13 * n], rest[13 * n : 14 * n]
+    return anchor.view("<u8").ravel(), whole, doc, plane(8 * n, 4, "<u4").astype(np.int64), rest[12 * n : 13 * n], rest[13 * n : 14 * n]
 
 
 def send_anchors(bits: int):
@@ -161,7 +164,7 @@ def send_anchors(bits: int):
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         anchor, whole, doc, start, left, size = (np.concatenate(x) for x in zip(*held, strict=True))
-        least = least_of_equal(mix(whole + anchor), doc)
+        least = least_of_equal(whole, doc, anchor)
         again = doc > least
         known = merged(spans(doc[again], start[again], (start + size)[again]))
         yield from blobs(doc_bucket(known["doc"], bits), known, SPANS)
@@ -217,7 +220,7 @@ def meet_anchors(bits: int):
 
     def one(parts: list[bytes], high: int) -> tuple[np.ndarray, np.ndarray]:
         anchor, whole, doc, start, left, size = (np.concatenate(x) for x in zip(*map(unpack, parts), strict=True))
-        least = least_of_equal(mix(whole + mix(anchor)), doc)
+        least = least_of_equal(whole, doc, anchor)
         again = doc > least
         found = merged(spans(doc[again], start[again], (start + size)[again]))
         rest = np.flatnonzero(~again)
@@ -322,7 +325,8 @@ def compare_contexts(rows: np.ndarray) -> np.ndarray:
         return np.zeros(0, SPAN_ROW)
     flat = rows["text"][np.repeat(np.arange(len(rows)), n), spread(lo, n)]
     at = np.cumsum(n) - n
-    key = mix(SpanHash(flat.astype(np.uint64) + np.uint64(1))(at, at + n) + mix(rows["anchor"] + lead[use].astype(np.uint64)))
+    # What has the same anchor, bytes and place of the anchor in them is of one kind; bytes are compared.
+    key = np.unique(np.stack([rows["anchor"], lead[use].astype(np.uint64), numbered(flat, at, at + n)[1].astype(np.uint64)], 1), axis=0, return_inverse=True)[1].ravel()
     doc, start = rows["doc"], rows["start"].astype(np.int64) + lo
     again = doc > least_of_equal(key, doc)
     found = [spans(doc[again], start[again], (start + n)[again])]
@@ -354,8 +358,11 @@ def compare_contexts(rows: np.ndarray) -> np.ndarray:
         owner = np.repeat(np.arange(len(part)), width + 1)[suffixes]
         whole = suffixes + SPAN <= (begin + width)[owner]
         suffixes, owner = suffixes[whole], owner[whole]
-        window = SpanHash(symbols.astype(np.uint64))(suffixes, suffixes + SPAN)
-        head = np.append(True, window[1:] != window[:-1])  # equal windows are neighbours in this order
+        # Equal windows are neighbours in this order; a window has no 0 in it.
+        a, b = suffixes[1:], suffixes[:-1]
+        head = np.append(True, ~SpanHash((symbols - 1).astype(np.uint8)).same(a, a + SPAN, b, b + SPAN))[: len(suffixes)]
+        if not len(suffixes):
+            continue
         d = doc[who][owner]
         least = np.minimum.reduceat(d, np.flatnonzero(head))[np.cumsum(head) - 1]
         later = np.flatnonzero(d > least)
@@ -391,8 +398,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id and its spans to remove, as one or two blobs of SPAN_ROW. docs: doc_id long, text string."""
     spark = docs.sparkSession
     docs = docs.filter("doc_id IS NOT NULL AND octet_length(text) >= %d" % SPAN)
-    # As many buckets as keep one at a few MB, by the partitions that Spark reads the table in.
-    bits = min(24, max(8, (32 * docs.rdd.getNumPartitions() - 1).bit_length()))
+    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(8, (total // BUCKET).bit_length())
     gather = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "kind")
     met = gather(docs.mapInArrow(send_anchors(bits), BLOBS)).mapInArrow(meet_anchors(bits), BLOBS)
     known = written(gather(met).mapInArrow(per_document, "doc_id long, spans binary, edges binary"), "repeats")

@@ -78,3 +78,26 @@ def classes(rows):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {d: (len(s), None if d is None else find(d)) for d, s in sets.items()}
+
+
+def linked(rows):
+    """As `classes`, for more rows: only documents that share a shingle are compared."""
+    sets = {d: shingles(t) for d, t in rows}
+    root, holders = {d: d for d in sets}, {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for d, s in sets.items():
+        shared = {}
+        for x in s:
+            for e in holders.setdefault(x, []):
+                shared[e] = shared.get(e, 0) + 1
+            holders[x].append(d)
+        for e, n in shared.items():
+            if 100 * n >= 80 * (len(s) + len(sets[e]) - n):
+                x, y = find(d), find(e)
+                root[max(x, y)] = min(x, y)
+    return {d: (len(s), find(d)) for d, s in sets.items()}

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from sluiceworks.llm.jaccard_join import allowed, ask, first_few, jaccard_classes
+from sluiceworks.llm.jaccard_join import LEAST, allowed, first_few, jaccard_classes, joins, with_partner
 from sluiceworks.llm.lyndon import suffix_array
 from sluiceworks.llm.suffix_dedup import common, suffix_dedup, without_repeats
 
@@ -91,18 +91,75 @@ def test_jaccard_links_of_points_whose_partners_a_leader_took(spark):
     assert got == cases.classes(rows)
 
 
-@pytest.mark.parametrize("size", [3, 8, 16, 40, 90])
-def test_ask_names_every_point_with_an_allowed_partner(size):
+def chains(r, n, vocabulary, words=70):
+    """For each chain near copies of a text, and a path of near copies that leads away from it."""
+    rows = []
+    for _ in range(n):
+        base = [r.choice(vocabulary) for _ in range(words)]
+        for _ in range(r.randint(0, 3)):
+            copy = list(base)
+            copy[r.randrange(words)] = r.choice(vocabulary)
+            rows.append(copy)
+        rows.append(base)
+        for _ in range(r.randint(0, 5)):
+            base = list(base)
+            for _ in range(r.randint(1, 2)):
+                base[r.randrange(words)] = r.choice(vocabulary)
+            rows.append(base)
+    r.shuffle(rows)
+    return [(i, " ".join(x)) for i, x in enumerate(rows, 1)]
+
+
+def test_jaccard_classes_of_many_chains_equal_brute_force(spark):
+    rows = chains(random.Random(8), 400, [f"w{i}" for i in range(5000)])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(cases.frame(spark, rows)).collect()}
+    assert got == cases.linked(rows)
+
+
+def test_jaccard_classes_in_small_blocks_and_with_a_common_passage(spark):
+    """Blocks of five points, so that gatherings are searched block by block; most texts share a long passage."""
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(900)]
+    passage = " ".join(r.choice(vocabulary) for _ in range(45))
+    rows = [(d, f"{passage} {t}" if r.random() < 0.7 else t) for d, t in chains(r, 60, vocabulary, 40)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_classes(cases.frame(spark, rows), block=5).collect()}
+    assert got == cases.linked(rows)
+
+
+@pytest.mark.parametrize("size", [2, 8, 40, 90])
+def test_points_with_an_allowed_partner_in_another_component(size):
     r = np.random.default_rng(size)
     for _ in range(40):
         counts = np.zeros((size, 64), np.int64)
         for row in counts:
             k = r.integers(0, 40)
             row[:2] = 100 - k, k
-        n = counts.sum(1)
-        named = {int(i) for x, y in ask(n, list(counts)) for i in (*x, *y)}
-        ok = allowed(counts[:, None], counts[None], n[:, None], n[None]) & ~np.eye(size, dtype=bool)
-        assert named == set(np.flatnonzero(ok.any(1)).tolist())
+        n, component = counts.sum(1), r.integers(0, 3, size)
+        ok = allowed(counts[:, None], counts[None], n[:, None], n[None]) & (component[:, None] != component)
+        assert with_partner(n, list(counts), component).tolist() == ok.any(1).tolist()
+
+
+def test_joins_connect_what_is_similar():
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        base = r.integers(0, 1 << 40, 60).astype(np.uint64)
+        sets = []
+        for _ in range(50):
+            x = base.copy()
+            x[r.integers(0, 60, r.integers(0, 12))] = r.integers(0, 1 << 40)
+            sets.append(np.unique(x))
+        component = r.integers(0, 9, 50)
+        root = {c: c for c in range(9)}
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                if 100 * len(np.intersect1d(x, y)) >= LEAST * len(np.union1d(x, y)):
+                    a, b = root[int(component[i])], root[int(component[j])]
+                    root = {c: min(a, b) if v in (a, b) else v for c, v in root.items()}
+        found = {c: c for c in range(9)}
+        for i, j in joins(np.arange(50), component, sets):
+            a, b = found[int(component[i])], found[int(component[j])]
+            found = {c: min(a, b) if v in (a, b) else v for c, v in found.items()}
+        assert {c: found[c] for c in component.tolist()} == {c: root[c] for c in component.tolist()}
 
 
 def test_first_few_cover_what_a_similar_set_may_lack():
