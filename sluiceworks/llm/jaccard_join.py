@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .members import Members, perhaps
 from .ragged import SpanHash, chunks, lower_ascii, mix, utf8, words
 from .shared import release, written
 
@@ -351,11 +352,18 @@ def star(pairs: DataFrame, of: DataFrame, decode: Callable, test: Callable, bloc
     return both.repartition("center", "salt").sortWithinPartitions("center", "salt", "kind").mapInArrow(run, "center long, doc_id long")
 
 
-def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text", CHUNK):
-        flat, upto = shingle_sets(*utf8(batch.column("text")))
-        cut = pa.py_buffer((upto * 8).astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(upto)), pa.Array.from_buffers(pa.binary(), len(batch), [None, cut, pa.py_buffer(flat.tobytes())])], ["doc_id", "n", "payload"])
+def whole_sets(docs: DataFrame, members: Members) -> DataFrame:
+    """The sets of the documents that may be members; what is not, a join has to drop."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(members.has(batch.column("place"))))
+            for part in chunks([batch], "text", CHUNK):
+                flat, upto = shingle_sets(*utf8(part.column("text")))
+                cut = pa.py_buffer((upto * 8).astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(upto)), pa.Array.from_buffers(pa.binary(), len(part), [None, cut, pa.py_buffer(flat.tobytes())])], ["doc_id", "n", "payload"])
+
+    return docs.withColumn("place", members.place("doc_id")).mapInArrow(run, "doc_id long, n long, payload binary")
 
 
 def cut_blocks(most: int) -> Callable:
@@ -445,21 +453,21 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     common = spark.sparkContext.broadcast(common_shingles(docs))
     sets = written(docs.mapInArrow(describe(common), SETS), "sets")
     key = ["n", "s1", "s2"]
-    classes = written(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "heat", "first").dropDuplicates(["doc_id"])
+    classes = written(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
+    # Most documents stand for themselves; only those with copies go through a join to find out who stands for them.
+    copied = classes.filter("rows > 1")
+    copies = Members(sets.select("doc_id", *key).join(copied.select(*key), key).select("doc_id"))
+    some = sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "heat", "first")
+    reps = perhaps(some, copies).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(perhaps(some, copies, inside=False))
     shown = reps.select(F.explode("first").alias("token"), "n", "doc_id", "heat")
     # By range, so that a shingle that very many show is dealt over tasks.
     met = shown.repartitionByRange("token", "n", "doc_id").sortWithinPartitions("token", "n", "doc_id").mapInArrow(meetings, "meeting long, doc_id long, center long")
     met = written(met.distinct(), "met")
     release(spark)
-    points = sets.select("doc_id", "n", F.col("counts").alias("payload"))
-
-    def shingles_of(ids: DataFrame) -> DataFrame:
-        return docs.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(whole_sets, "doc_id long, n long, payload binary")
-
+    points = written(perhaps(sets.select("doc_id", "n", F.col("counts").alias("payload")), Members(met.select("doc_id"))), "points")
     pairs = written(met.filter("center <> doc_id").select("center", "doc_id").distinct(), "pairs")
     pairs = written(star(pairs, points, lambda n, x: (n, unfolded(x)), points_allow, block), "allowed")
-    full = written(shingles_of(pairs.select("doc_id").union(pairs.select("center"))), "shingles")
+    full = written(whole_sets(docs, Members(pairs.select("doc_id").union(pairs.select("center")))), "shingles")
     labels = components(star(pairs, full, lambda n, x: np.frombuffer(x, "<u8"), similar, block).select(F.col("center").alias("a"), F.col("doc_id").alias("b")))
     release(spark)
     placed = met.select("meeting", "doc_id").join(labels, "doc_id", "left").select("meeting", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -477,7 +485,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sides = near.join(rows, ["gathering", "block"]).unionByName(near.filter("block <> block2").join(rows.withColumnRenamed("block", "block2"), ["gathering", "block2"]))
     named = written(gathered(sides).mapInArrow(name_points, "gathering long, block long, block2 long, doc_id long, component_id long"), "named")
     release(spark)
-    more = written(gathered(named.join(shingles_of(named.select("doc_id")), "doc_id")).mapInArrow(join_sets, "a long, b long").distinct(), "links")
+    more = written(gathered(named.join(whole_sets(docs, Members(named.select("doc_id"))), "doc_id")).mapInArrow(join_sets, "a long, b long").distinct(), "links")
     if more.take(1):
         labels = components(labels.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).union(more))
     release(spark)
