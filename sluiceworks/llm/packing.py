@@ -2,7 +2,7 @@
 
 Only the histogram (at most `capacity` counts) reaches the driver. Multiplicative weights with an unbounded
 knapsack as pricing choose configurations and how often to use each; rounding is repeated on what it leaves,
-and its last remainder is packed by best fit, still on the histogram. The plan is a short table of runs, and each piece finds its place in it by
+and its last remainder is filled in by a bounded knapsack, still on the histogram. The plan is a short table of runs, and each piece finds its place in it by
 its rank among the pieces of its length, which is counted in salted groups.
 
 Null texts count as empty: one piece with the end token only. Repeated rows are packed as often as they occur.
@@ -26,10 +26,6 @@ from .shared import written
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length that one group ranks.
 GROUP = 50_000
-#: Share of a length's demand below which its row counts as covered.
-OPEN = 0.01
-#: Share of a sequence that a configuration must fill to be used by rounding.
-FULL = 0.995
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,95 +73,115 @@ class Knapsack:
             c = int(self.end[c - length])
         return out
 
-    def priced(self) -> Iterator[Counter]:
-        """For each length the best configuration that holds it, the most valuable first."""
+    def priced(self) -> Iterator[tuple[float, Counter]]:
+        """For each length the best configuration that holds it and its value, the most valuable first."""
         total = self.value + self.best[self.capacity - self.lengths]
         for j in np.argsort(-total, kind="stable").tolist():
             length = int(self.lengths[j])
-            yield self.chosen(self.capacity - length) + Counter({length: 1})
+            config = self.chosen(self.capacity - length)
+            config[length] += 1
+            yield float(total[j]), config
 
 
-def best_fit(left: dict[int, int], capacity: int) -> list[tuple[int, Counter]]:
-    """Best fit, longest first, on counts: groups of equal bins as (how many, what is in each)."""
-    groups: list[list] = []  # [how many, contents, room]
-    for length in sorted(left, reverse=True):
-        todo = left[length]
-        for g in sorted((g for g in groups if g[2] >= length), key=lambda g: g[2]):
-            if not todo:
-                break
-            fit = g[2] // length
-            full = min(g[0], todo // fit)
-            rest = todo - full * fit if full < g[0] else 0
-            part = min(rest, fit) if full < g[0] else 0
-            todo -= full * fit + part
-            if part:
-                groups.append([1, g[1] + Counter({length: part}), g[2] - part * length])
-            if g[0] > full + bool(part):
-                groups.append([g[0] - full - bool(part), g[1], g[2]])
-            g[0], g[1], g[2] = full, g[1] + Counter({length: fit}), g[2] - fit * length
-        groups = [g for g in groups if g[0]]
-        if todo:
-            fit = capacity // length
-            if todo // fit:
-                groups.append([todo // fit, Counter({length: fit}), capacity - fit * length])
-            if todo % fit:
-                groups.append([1, Counter({length: todo % fit}), capacity - todo % fit * length])
-    return [(n, c) for n, c, _ in groups]
-
-
-def fractional(demand: dict[int, int], capacity: int, rounds: int, step: float, rate: float) -> dict[frozenset, float]:
-    """How often to use which configurations, by multiplicative weights on the program's covering rows.
-
-    A row is a length; its weight starts at its share of a sequence and shrinks with the part of its demand that
-    is covered. A round prices configurations by one knapsack over the rows that are open, and uses each for a
-    part of what is open in its scarcest row.
+def fractional(demand: dict[int, int], capacity: int, fine: float = 1.0) -> tuple[dict[frozenset, float], float]:
+    """How often to use which configurations to cover most of the demand, and a lower bound on any solution.
+
+    Multiplicative weights: a row is a length; its weight starts at its share of a sequence and shrinks
+    exponentially with the part of its demand that is covered. A round prices configurations by one knapsack over
+    the rows that are open, and uses those whose value comes near the best one's, each for a small part of what is
+    open in its scarcest row. A larger `fine` takes more and smaller steps. The weights of a round, divided by
+    the best configuration's value, are feasible in the dual program, so they bound it from below, as do the dual feasible functions
+    floor((k + 1) x) / k of a length's share x; the best of these bounds is kept.
     """
+    rounds, step, rate, near = int(20 * fine), 0.3 / fine, 3 * fine, 0.1 / fine
     uses: dict[frozenset, float] = {}
     lengths = np.array(sorted(demand), dtype=np.int64)
     need = np.array([demand[k] for k in lengths.tolist()], dtype=np.float64)
-    open_ = need.copy()
+    open_, bound = need.copy(), 0.0
     place = np.zeros(capacity + 1, np.int64)
     place[lengths] = np.arange(len(lengths))
+    for k in (1, 2, 3, 4):
+        bound = max(bound, float((need * (((k + 1) * lengths - 1) // capacity)).sum() / k))
     for _ in range(rounds):
-        rows = np.flatnonzero(open_ > need * OPEN)
+        rows = np.flatnonzero(open_ > 1e-9)
         if not len(rows):
             break
         covered = 1 - open_[rows] / need[rows]
         weight = lengths[rows] / capacity * np.exp(-rate * (covered - covered.min()))
-        for config in Knapsack(lengths[rows], weight, capacity).priced():
+        knapsack = Knapsack(lengths[rows], weight, capacity)
+        best = knapsack.best[capacity]
+        bound = max(bound, float((need[rows] * weight).sum() / best))
+        for value, config in knapsack.priced():
+            if value < best * (1 - near):
+                break
             at, copies = place[list(config)], np.array(list(config.values()), dtype=np.float64)
             times = step * float((open_[at] / copies).min())
-            if times > 0.05:
+            if times > 1e-9:
                 key = frozenset(config.items())
                 uses[key] = uses.get(key, 0.0) + times
-                open_[at] -= times * copies
-    return uses
-
-
-def plan(histogram: dict[int, int], capacity: int = 2048, phases: int = 8, rounds: int = 30, step: float = 0.5, rate: float = 2.0) -> list[tuple[int, Counter]]:
-    """Bins as (how many, lengths in each) that hold exactly the histogram.
+                open_[at] = np.maximum(open_[at] - times * copies, 0)
+    return uses, bound
+
+
+def filled(left: dict[int, int], capacity: int) -> list[tuple[int, Counter]]:
+    """What rounding leaves, one configuration after the other: the longest piece with the pieces that fill its room best.
+
+    The knapsack here has a piece's length as its value and uses no length more often than it is left; sums that
+    can be reached are bits of an integer."""
+    out = []
+    left = dict(left)
+    while left:
+        longest = max(left)
+        room, config = capacity - longest, Counter({longest: 1})
+        sums, before = 1, []
+        for length in sorted((k for k in left if k <= room), reverse=True):
+            before.append((length, sums))
+            for _ in range(min(left[length] - (length == longest), room // length)):
+                sums |= sums << length
+            sums &= (2 << room) - 1
+            if sums >> room:
+                break
+        at = sums.bit_length() - 1
+        for length, smaller in reversed(before):
+            while not smaller >> at & 1:
+                config[length] += 1
+                at -= length
+        n = min(left[k] // a for k, a in config.items())
+        out.append((n, config))
+        for k, a in config.items():
+            left[k] -= n * a
+            if not left[k]:
+                del left[k]
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int = 2048, phases: int = 8) -> tuple[list[tuple[int, Counter]], dict[str, float]]:
+    """Bins as (how many, lengths in each) that hold exactly the histogram, and figures of the solution.
 
     Each phase solves the program for what is left and rounds it: the most used configurations come first, each
-    as often as the solution says, rounded up, while what is left allows it. The remainder that no whole
-    configuration of the last phase fits is packed by best fit, as rounding leaves it.
+    as often as the solution says, rounded up, while what is left allows it. What no whole configuration of the
+    last phase fits is filled in by the bounded knapsack. `bound` is the best dual bound of the whole program (no
+    packing has fewer sequences); `rounded` and `filled` count the sequences of the two steps.
     """
     left = {k: n for k, n in histogram.items() if n > 0}
     bins: list[tuple[int, Counter]] = []
-    for _ in range(phases):
-        placed = 0
-        solution = fractional(left, capacity, rounds, step, rate) if left else {}
+    lower = 0.0
+    fine = min(8.0, max(1.0, 2000 / max(len(left), 1)))
+    for phase in range(phases if left else 0):
+        solution, bound = fractional(left, capacity, fine)
+        lower = lower if phase else bound
         for key, times in sorted(solution.items(), key=lambda x: (-x[1], sorted(x[0]))):
             config = Counter(dict(key))
             n = min([-int(-times // 1), *(left.get(k, 0) // a for k, a in config.items())])
-            if n > 0 and sum(k * a for k, a in config.items()) >= capacity * FULL:
+            if n > 0:
                 bins.append((n, config))
-                placed += n
                 for k, a in config.items():
                     left[k] -= n * a
         left = {k: n for k, n in left.items() if n}
-        if not placed:
+        if not left:
             break
-    return bins + best_fit(left, capacity)
+    rest = filled(left, capacity)
+    return bins + rest, {"bound": lower, "rounded": sum(n for n, _ in bins), "filled": sum(n for n, _ in rest)}
 
 
 def runs(bins: list[tuple[int, Counter]]) -> dict[str, np.ndarray]:
@@ -187,7 +203,7 @@ def best_fit_packing(docs: DataFrame, path: str, capacity: int = 2048, end_id: i
     """Per piece its document, number, start, length and crc32 of its ids, and its sequence and offset there."""
     pieces = written(token_pieces(docs, path, capacity, end_id, doc_id, text), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = runs(plan(histogram, capacity))
+    table = runs(plan(histogram, capacity)[0])
     salts = max(1, -(-max(histogram.values(), default=1) // GROUP))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
