@@ -2,10 +2,15 @@
 
 Each word (a run of letters and marks) gets a score per language from the character trigrams it holds. A path
 through the words of a text may change the language at a fixed penalty; the best path labels the spans, and
-the language with the most letters labels the text. `score` is the share of letters that path gives it.
-
-A text that is null or has no letter is `und` with score 0. Ties go to the language that sorts first. With
-nothing to learn from (an empty table, or no labelled row) every text is `und`.
+the language with the most letters labels the text. `score` is the share of the text's letters that the path gives
+it, in scripts that a learned language uses: a text in none of these has score 0. `fit` is the mean log-probability
+of these letters under the labelling language less that of its training texts: far below 0 for a text in a language
+that was not learned, and null where there are no such letters.
+
+A text that is null or has no letter (marks alone are none) is `und` with score 0. Ties go to the language that sorts first. With
+nothing to learn from (no labelled row) every text is `und`; an empty table gives no rows. Each row is judged by
+itself, so repeated rows have equal results; whole texts are read, in runs of at least one text, and a very long
+text is a run by itself. Columns besides the three named ones are ignored.
 """
 
 from __future__ import annotations
@@ -70,14 +75,20 @@ def cut(texts: list[str]) -> Words:
     joined = lower(" ".join([*texts, ""]))  # a blank after every text
     cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
-    inside = classes()[cps] == LETTER
-    marks = (cps >= 0x300) & (cps <= 0x36F)
-    inside |= marks
+    letter = classes()[cps] == LETTER
+    inside = letter | (cps >= 0x300) & (cps <= 0x36F)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
     last[:-1] &= ~inside[1:]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    # Marks without a letter are no word.
+    upto = np.append(0, np.cumsum(letter))
+    lettered = upto[end] > upto[start]
+    if not lettered.all():
+        for a, b in zip(start[~lettered].tolist(), end[~lettered].tolist(), strict=True):
+            inside[a:b] = False
+        start, end = start[lettered], end[lettered]
     # The gram at a letter is the letter with its neighbours; what is not in the word counts as a blank.
     x = np.where(inside, cps, 32).astype(np.uint64)
     around = np.concatenate([[32], x, [32]]).astype(np.uint64)
@@ -92,6 +103,7 @@ class Model:
     languages: list[str]
     log: np.ndarray
     allowed: np.ndarray
+    usual: np.ndarray  # mean log of a training letter by language
 
     def word_scores(self, words: Words) -> np.ndarray:
         """One row per word. A script of no language leaves all candidates level."""
@@ -110,8 +122,8 @@ class Model:
         start, size = at[:-1][order], size[order]
         longest = int(size[0]) if len(size) else 0
         running = np.searchsorted(-size, -np.arange(longest), side="left")  # texts with more than t words
-        back = np.zeros(score.shape, dtype=np.int8)
-        own = np.arange(len(self.languages), dtype=np.int8)
+        back = np.zeros(score.shape, dtype=np.int32)
+        own = np.arange(len(self.languages), dtype=np.int32)
         value = np.zeros((len(size), len(self.languages)))
         for t in range(longest):
             k = int(running[t])
@@ -124,8 +136,8 @@ class Model:
                 back[here] = np.where(switch, best[:, None], own)
                 v = np.where(switch, change, v)
             value[:k] = v + score[here]
-        out = np.zeros(len(score), dtype=np.int8)
-        state = np.zeros(len(size), dtype=np.int8)
+        out = np.zeros(len(score), dtype=np.int32)
+        state = np.zeros(len(size), dtype=np.int32)
         for t in range(longest - 1, -1, -1):
             k, more = int(running[t]), int(running[t + 1]) if t + 1 < longest else 0
             state[more:k] = value[more:k].argmax(1)  # these texts end here
@@ -134,16 +146,24 @@ class Model:
             state[:k] = back[here, state[:k]]
         return out
 
-    def label(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the place of its language (-1: none) and the share of letters it has."""
+    def label(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the place of its language (-1: none), the share of letters it has, and how well they fit."""
         n, k = len(words.texts) - 1, len(self.languages)
         doc = np.repeat(np.arange(n), np.diff(words.texts))
         if not k:
-            return np.full(n, -1), np.zeros(n)
-        letters = np.bincount(doc * k + self.spans(words), weights=words.count, minlength=n * k).reshape(n, k)
-        total = letters.sum(1)
+            return np.full(n, -1), np.zeros(n), np.full(n, np.nan)
+        place = doc * k + self.spans(words)
+        total = np.bincount(doc, weights=words.count, minlength=n)
+        known = self.allowed[words.script].any(1)
+        letters = np.bincount(place, weights=words.count * known, minlength=n * k).reshape(n, k)
         best = letters.argmax(1)
-        return np.where(total > 0, best, -1), letters[np.arange(n), best] / np.maximum(total, 1)
+        # The letters' logs under the labelling language, over words in scripts that any language uses.
+        flat = np.repeat(best[doc] if len(doc) else doc, words.count)
+        logs = np.append(0, np.cumsum(self.log[words.grams, flat]))
+        own = np.bincount(doc, weights=(logs[words.start + words.count] - logs[words.start]) * known, minlength=n)
+        read = np.bincount(doc, weights=words.count * known, minlength=n)
+        fit = np.where(read > 0, own / np.maximum(read, 1) - self.usual[best], np.nan)
+        return np.where(total > 0, best, -1), letters[np.arange(n), best] / np.maximum(total, 1), fit
 
 
 def held_out(doc_id: Column) -> Column:
@@ -173,31 +193,35 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     sums[table["at"], [languages.index(x) for x in table["lang"]]] = table["n"]
     grams, scripts = sums[:BUCKETS], sums[BUCKETS:]
     log = np.log((grams + 0.5) / (grams.sum(0) + 0.5 * BUCKETS))
-    return Model(languages, log, scripts > 0.01 * scripts.sum(0))
+    return Model(languages, log, scripts > 0.01 * scripts.sum(0), (grams * log).sum(0) / np.maximum(grams.sum(0), 1))
 
 
 def language_id(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: held_out, lang_pred and score."""
+    """Per document: held_out, lang_pred, score and fit."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in chunks(batches, "text", CHUNK):
             words = cut(pc.fill_null(batch.column("text"), "").to_pylist())
-            best, score = model.label(words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+            best, score, fit = model.label(words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names[best], pa.string()), pa.array(score), pa.array(fit, from_pandas=True)], ["doc_id", "held_out", "lang_pred", "score", "fit"])
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(doc_id)), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return picked.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, fit double")
 
 
 def language_spans(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The spans themselves: doc_id, number of the span, its language, and how many words and letters it has."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for batch in chunks(batches, "text", CHUNK):
             words = cut(pc.fill_null(batch.column("text"), "").to_pylist())
             doc = np.repeat(np.arange(len(batch)), np.diff(words.texts))
-            state = model.spans(words) if model.languages else np.zeros(len(doc), np.int8)
+            state = model.spans(words) if model.languages else np.zeros(len(doc), np.int32)
             new = np.append(True, (doc[1:] != doc[:-1]) | (state[1:] != state[:-1]))[: len(doc)]
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, len(doc)))

@@ -15,6 +15,9 @@ from . import suffix_dedup as repeats
 from .queries import VOCABULARY
 from .shared import written
 
+#: Log-probability units a letter.
+POOR_FIT = -3.0
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -31,9 +34,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter go, and those whose letters no language holds a quarter of."""
+    """Documents in a learned language: those go that have no letter, whose letters no learned language holds a quarter of
+    (as in a script that none of them uses), or whose letters fit the language by POOR_FIT or more worse than its training texts."""
     found = languages.language_id(docs, languages.fit(docs))
-    return only(docs, found.filter((F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= 0.25)))
+    return only(docs, found.filter((F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= 0.25) & (F.col("fit") >= POOR_FIT)))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
