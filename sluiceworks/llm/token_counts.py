@@ -2,7 +2,8 @@
 
 A change is a row (op, source, lang, tokenizer, n_tokens, old_tokens) with op 'insert', 'delete' or 'revise'.
 A batch is aggregated before it is written, and counts once its commit marker is there; applying a batch id
-again changes nothing. Null source, lang or tokenizer values form groups of their own; null counts are 0.
+again changes nothing. Null source, lang or tokenizer values form groups of their own; null counts are 0, and an
+unknown op counts nothing. Repeated rows count as often as they occur, very long texts whole; a table without rows gives no group.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bpe import RoundBpe, encoded
 
 KEYS = ["source", "lang", "tokenizer"]
-DELTA = T.StructType([*(T.StructField(k, T.StringType()) for k in KEYS), T.StructField("d_docs", T.LongType()), T.StructField("d_tokens", T.LongType()), T.StructField("batch_id", T.StringType())])
+GROUP = "source string, lang string, tokenizer string"
+DELTA = f"{GROUP}, d_docs long, d_tokens long"
+#: Batches between two bases.
+FOLD = 100
 
 
 def token_counts(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,32 +44,59 @@ def signed(changes: DataFrame) -> DataFrame:
 
 
 class TokenRollup:
-    """Totals in one folder. A batch is a partition of deltas; `_commits` names the batches that count."""
+    """Totals in one folder, for one writer at a time.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.deltas, self.commits = spark, f"{path}/deltas", f"{path}/commits"
+    A batch is a partition of deltas; `commits` names the batches that count. Every FOLD commits the totals so far are
+    written as a base of their own, and with the marker of that base a new generation begins: totals are the newest base and
+    the deltas of its generation, at most FOLD batches, however many there were before. Deltas of older generations go.
+    """
 
-    def _read(self, path: str, schema: T.StructType) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        there = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-        return self.spark.read.schema(schema).parquet(path) if there else self.spark.createDataFrame([], schema)
+    def __init__(self, spark: SparkSession, path: str, fold: int = FOLD):
+        self.spark, self.every = spark, fold
+        self.deltas, self.commits, self.bases, self.folds = (f"{path}/{x}" for x in ("deltas", "commits", "bases", "folds"))
+
+    def _at(self, path: str):  # noqa: ANN202
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _read(self, path: str, schema: str) -> DataFrame:
+        fs, at = self._at(path)
+        return self.spark.read.schema(schema).parquet(path) if fs.exists(at) else self.spark.createDataFrame([], schema)
+
+    def generation(self) -> int:
+        return self._read(self.folds, "generation long").agg(F.max("generation")).first()[0] or 0
 
     def committed(self) -> DataFrame:
-        return self._read(self.commits, T.StructType([T.StructField("batch_id", T.StringType())]))
+        return self._read(self.commits, "batch_id string, generation long")
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Add one batch of changes; False if that id is committed already. A batch that died half-way is replaced."""
         if self.committed().filter(F.col("batch_id") == batch_id).take(1):
             return False
-        rows = signed(changes).withColumn("batch_id", F.lit(batch_id))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.deltas)
-        self.spark.range(1).select(F.lit(batch_id).alias("batch_id")).coalesce(1).write.mode("append").parquet(self.commits)
+        now = self.generation()
+        rows = signed(changes).withColumns({"generation": F.lit(now).cast("long"), "batch_id": F.lit(batch_id)})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("generation", "batch_id").parquet(self.deltas)
+        self.spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.lit(now).cast("long").alias("generation")).coalesce(1).write.mode("append").parquet(self.commits)
+        if self.committed().filter(F.col("generation") == now).count() >= self.every:
+            self.fold()
         return True
 
+    def fold(self) -> None:
+        """Write the totals as a base and begin a new generation; until its marker is written nothing has changed."""
+        now = self.generation()
+        self.totals().write.mode("overwrite").parquet(f"{self.bases}/{now + 1}")
+        self.spark.range(1).select(F.lit(now + 1).cast("long").alias("generation")).coalesce(1).write.mode("append").parquet(self.folds)
+        for old in (f"{self.deltas}/generation={now}", f"{self.bases}/{now}"):
+            fs, at = self._at(old)
+            fs.delete(at, True)
+
     def totals(self) -> DataFrame:
-        """n_docs and n_tokens of every group that committed batches touched; groups at zero documents are left out."""
-        rows = self._read(self.deltas, DELTA).join(F.broadcast(self.committed().distinct()), "batch_id", "left_semi")
+        """n_docs and n_tokens of every group that committed batches touched, but for those left with neither."""
+        now = self.generation()
+        counts = self.committed().filter(F.col("generation") == now).select("batch_id").distinct()  # FOLD ids at most, so it may be broadcast
+        new = self._read(self.deltas, f"{DELTA}, generation long, batch_id string").filter(F.col("generation") == now).join(F.broadcast(counts), "batch_id", "left_semi")
+        base = self._read(f"{self.bases}/{now}", f"{GROUP}, n_docs long, n_tokens long")
+        rows = new.select(*KEYS, "d_docs", "d_tokens").union(base)
         return rows.groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens")).filter("n_docs <> 0 OR n_tokens <> 0")
 
 
