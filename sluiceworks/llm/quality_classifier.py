@@ -6,7 +6,9 @@ FIT_ROWS of DIMENSIONS numbers, are broadcast; every document's cosines with all
 blocks, and the nearest vote with the power POWER of their similarity.
 
 Empty and null texts have no terms: their score is the share of label 1 among the labelled rows. Without any
-labelled row every score is 0.5. Ties among neighbours are broken by their order, which their ids fix.
+labelled row every score is 0.5. Ties among neighbours are broken by their order, which their ids fix. An id
+that has several rows is learned once, with the least of its texts and the greatest of its labels. Each row is
+scored by itself: repeated rows have equal scores, a very long text is read whole, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -105,6 +107,9 @@ class Model:
             part = counts[lo : lo + block]
             cosine = self.embed(part) @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            # Where the last neighbour ties with others, the first ones by id count.
+            tied = np.flatnonzero((cosine >= np.take_along_axis(cosine, near, 1).min(1, keepdims=True)).sum(1) > k)
+            near[tied] = np.argsort(-cosine[tied], axis=1, kind="stable")[:, :k]
             weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** POWER
             total = weight.sum(1)
             vote = np.where(total > 0, (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-12), self.prior)
@@ -119,8 +124,10 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Learn from labelled rows outside the held-out fifth: their vectors and the weights of the terms."""
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it may be broadcast
+    # One row per id, so that at most `rows` are broadcast, and as many texts come to the driver as terms.
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id")
+    picked = picked.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):

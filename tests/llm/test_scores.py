@@ -41,10 +41,13 @@ def test_language_of_nothing_and_of_mixed_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.fit(docs)
     mixed = "the of and with this be or the of and to the " * 3 + "der die das und ist ein nicht mit auf für " * 3
-    rows = [(1, None), (2, ""), (3, "123 %% 456"), (4, mixed), (None, "the and of"), (6, "Привет мир")]
-    got = {r.doc_id: (r.lang_pred, r.held_out) for r in language_id.language_id(cases.wide(spark, rows), model).collect()}
-    assert [got[k][0] for k in (1, 2, 3)] == ["und"] * 3
-    assert got[None] == ("en", False)
+    rows = [(1, None), (2, ""), (3, "123 %% 456"), (4, mixed), (None, "the and of"), (6, "Привет мир"), (7, "\u0301"), (8, "\u0301 12 \u0302"), (9, "the and of " * 9000), (9, "the and of " * 9000), (10, "xkq zwj vvq " * 40)]
+    got = {r.doc_id: r for r in language_id.language_id(cases.wide(spark, rows), model).collect()}
+    assert [(got[k].lang_pred, got[k].score) for k in (1, 2, 3, 7, 8)] == [("und", 0)] * 5
+    assert (got[None].lang_pred, got[None].held_out, got[9].lang_pred) == ("en", False, "en")
+    assert got[6].lang_pred != "und" and got[6].score == 0 and got[6].fit is None
+    assert got[10].fit < -3 < got[9].fit
+    assert language_id.language_id(cases.wide(spark, [(1, "x")]).limit(0), model).collect() == []
     spans = language_id.language_spans(cases.frame(spark, [(4, mixed)]), model).orderBy("span").collect()
     assert [s.lang for s in spans] == ["en", "de"]
 
@@ -84,3 +87,33 @@ def test_classifier_on_nothing(spark):
     labels = spark.createDataFrame([(3, 1), (3, None), (None, 0)], "doc_id long, quality int")
     out = quality_classifier.quality_classifier(docs, quality_classifier.fit(docs, labels)).collect()
     assert len(out) == 4
+
+
+def test_classifier_votes_equal_brute_force(spark):
+    """Every cosine and vote by itself, ties at the last neighbour included, for repeated, long and empty texts."""
+    import math
+
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.fit(docs, labels.union(labels.selectExpr("doc_id", "1 - quality", "toxic").limit(3)))
+    assert len(model.labels) == labels.filter(~quality_classifier.held_out(labels.doc_id)).select("doc_id").distinct().count()
+    model.vectors[1::2] = model.vectors[::2][: len(model.vectors[1::2])]  # ties
+    rows = [(r.doc_id, r.text) for r in docs.limit(40).collect()] + [(1001, None), (1002, ""), (1003, "word " * 30_000), (1003, "word " * 30_000)]
+    got = quality_classifier.quality_classifier(cases.wide(spark, rows), model).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        data = (texts[r.doc_id] or "").encode()
+        counts = quality_classifier.term_counts(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        expected = model.prior
+        if counts.any():
+            x = model.embed(counts)[0]
+            cosine = [float(np.float32(sum(float(a) * float(b) for a, b in zip(x, v, strict=True)))) for v in model.vectors]
+            near = sorted(range(len(cosine)), key=lambda i: (-round(cosine[i], 5), i))[: quality_classifier.NEIGHBOURS]
+            weights = [max(cosine[i], 0) ** quality_classifier.POWER for i in near]
+            if sum(weights) > 0:
+                expected = math.fsum(w * model.labels[i] for w, i in zip(weights, near, strict=True)) / math.fsum(weights)
+        assert r.score == pytest.approx(expected, abs=2e-2)
+        assert r.predicted == int(r.score >= 0.3)
+    assert quality_classifier.quality_classifier(cases.wide(spark, rows).limit(0), model).collect() == []

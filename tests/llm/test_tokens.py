@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sluiceworks.llm import bpe, packing, token_counts
+from sluiceworks.llm import bpe, packing, ragged, token_counts
 from sluiceworks.llm.shared import new_path
 
 from . import cases
@@ -75,7 +75,7 @@ def test_packing_places_every_piece_once(spark):
 def test_plan_holds_the_histogram_and_is_short(seed):
     r = random.Random(seed)
     histogram = Counter(min(64, int(r.expovariate(0.08)) + 1) for _ in range(3000))
-    bins = packing.plan(dict(histogram), 64)
+    bins, figures = packing.plan(dict(histogram), 64)
     held = Counter()
     for n, config in bins:
         assert sum(k * c for k, c in config.items()) <= 64
@@ -83,7 +83,49 @@ def test_plan_holds_the_histogram_and_is_short(seed):
             held[k] += n * c
     assert held == histogram
     least = -(-sum(k * n for k, n in histogram.items()) // 64)
-    assert sum(n for n, _ in bins) <= least * 1.01 + 2
+    assert figures["bound"] <= sum(n for n, _ in bins) <= least * 1.01 + 2
+    assert sum(n for n, _ in bins) == figures["rounded"] + figures["filled"]
+
+
+@pytest.mark.parametrize(("histogram", "least"), [({700: 1000}, 500), ({1500: 100, 400: 100}, 100), ({1300: 50, 700: 60}, 55), ({2048: 3}, 3)])
+def test_plan_where_no_sequence_is_full(histogram, least):
+    bins, figures = packing.plan(histogram)
+    assert sum(n for n, _ in bins) == least and figures["filled"] == 0 and figures["bound"] > least - 1
+
+
+def test_plan_of_a_histogram_that_no_setting_was_chosen_on():
+    r = random.Random(77)
+    histogram = Counter(min(2048, int(r.paretovariate(0.9) * 60)) for _ in range(30_000))
+    bins, figures = packing.plan(dict(histogram))
+    held = Counter()
+    for n, config in bins:
+        held.update({k: n * c for k, c in config.items()})
+    assert held == histogram
+    assert sum(n for n, _ in bins) <= figures["bound"] * 1.001 + 1
+
+
+def test_words_of_a_letter_sequence_and_its_complement():
+    """Doubling words of a and b, on which polynomial hashes modulo powers of two collide."""
+    library, t = Tokenizer.from_file(PATH), "a"
+    for _ in range(12):
+        t += t.translate({97: 98, 98: 97})
+    texts = [x for k in (1024, 2048, 4096) for x in (t[:k], t[:k].translate({97: 98, 98: 97}))]
+    for kind in (bpe.Bpe, bpe.RoundBpe):
+        ids, at = kind(PATH).encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_ids_do_not_depend_on_the_hash(monkeypatch):
+    """Pieces whose hashes collide are told apart by their bytes."""
+    whole = ragged.SpanHash.__call__
+    monkeypatch.setattr(ragged.SpanHash, "__call__", lambda self, a, b: whole(self, a, b) & np.uint64(3))
+    library, texts = Tokenizer.from_file(PATH), ["Some words, and some other words.", "", "don't 123 words" * 9]
+    ids, at = bpe.Bpe(PATH).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_round_trip_of_an_empty_table(spark):
+    assert bpe.bpe_round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
 
 
 def test_knapsack_is_best_on_small_cases():
@@ -121,8 +163,8 @@ def test_uncommitted_batch_does_not_count(spark):
     rollup = token_counts.TokenRollup(spark, path)
     kind = "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long"
     rollup.apply("1", spark.createDataFrame([("insert", "a", "en", "t", 1, None)], kind))
-    stray = token_counts.signed(spark.createDataFrame([("insert", "a", "en", "t", 50, None)], kind)).selectExpr("*", "'2' AS batch_id")
-    stray.write.mode("append").partitionBy("batch_id").parquet(rollup.deltas)
+    stray = token_counts.signed(spark.createDataFrame([("insert", "a", "en", "t", 50, None)], kind)).selectExpr("*", "0L AS generation", "'2' AS batch_id")
+    stray.write.mode("append").partitionBy("generation", "batch_id").parquet(rollup.deltas)
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "t", 1, 1)]
     rollup.apply("2", spark.createDataFrame([("insert", "a", "en", "t", 4, None)], kind))
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "t", 2, 5)]
@@ -133,3 +175,12 @@ def test_rollup_of_a_table_counts_every_row(spark):
     out = token_counts.rollup_of(cases.wide(spark, rows), new_path(spark, "rollup"), PATH, "v1").collect()
     total = sum(len(library.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
     assert [tuple(r) for r in out] == [("s", "en", "v1", len(rows), total)]
+
+
+def test_rollup_folds_and_still_knows_old_batches(spark):
+    rollup = token_counts.TokenRollup(spark, new_path(spark, "rollup"), fold=2)
+    kind = "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long"
+    for k in range(5):
+        assert rollup.apply(str(k), spark.createDataFrame([("insert", "a", None, "t", 10, None), ("insert", f"s{k}", "en", "t", 1, None), ("delete", f"s{k - 1}", "en", "t", 1, None)], kind))
+    assert rollup.generation() == 2 and not rollup.apply("0", spark.createDataFrame([("insert", "a", None, "t", 10, None)], kind))
+    assert {tuple(r) for r in rollup.totals().collect()} == {("a", None, "t", 5, 50), ("s-1", "en", "t", -1, -1), ("s4", "en", "t", 1, 1)}
