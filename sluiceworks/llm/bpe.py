@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .ragged import chunks, numbered, spread
 
 #: Distinct pieces a worker remembers; beyond that it starts anew. It bounds memory and changes no result.
-MOST_PIECES = 1_000_000
+MOST_PIECES = 200_000
 #: UTF-8 bytes encoded at once.
 CHUNK = 2 << 20
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3

@@ -39,15 +39,16 @@ from .shared import release, written
 WIDTH = 5
 #: Similarity in hundredths.
 LEAST = 80
-#: Groups of the points in the tree; a set also keeps counts of finer groups, of so many shingles on average.
-GROUPS, FINE = 64, 2
+#: Groups of the points in the tree at least; larger sets have more, of about FINE shingles each, and where the shingles
+#: themselves are at hand, of about FINEST.
+GROUPS, FINE, FINEST = 64, 8, 2
 LEAF = 16
 #: Points, and shingles of these, in a block; a larger set is a block by itself.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
-#: A shingle is common if one in so many documents holds it; at most MOST_COMMON are told to all tasks. Both only
-#: set the order of shingles, on which no result depends.
-COMMON, MOST_COMMON = 4096, 1 << 20
-CHUNK, FLUSH = 2 << 20, 4 << 20
+#: A shingle is common if so many documents hold it; the MOST_COMMON most frequent of these are told to all tasks
+#: (12 MB). Both only set the order of shingles, on which no result depends.
+COMMON, MOST_COMMON = 6, 1 << 20
+CHUNK, FLUSH = 2 << 20, 2 << 20
 SETS = "doc_id long, n long, s1 long, s2 long, heat int, counts binary, first array<long>"
 
 
@@ -83,9 +84,9 @@ def first_few(n: int) -> int:
     return n - -(-n * LEAST // 100) + 1
 
 
-def group_counts(x: np.ndarray) -> bytes:
+def group_counts(x: np.ndarray, fine: int = FINE) -> bytes:
     """Counts by hash; the number of groups is a power of two, so that neighbours in size can be folded to the same."""
-    groups = max(GROUPS, 1 << (len(x) // FINE).bit_length())
+    groups = max(GROUPS, 1 << (len(x) // fine).bit_length())
     counts = np.bincount((x & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
     width = 1 if counts.max() < 256 else 4
     return bytes([width]) + counts.astype(f"<u{width}").tobytes()
@@ -100,31 +101,28 @@ def folded(counts: np.ndarray, groups: int) -> np.ndarray:
 
 
 def count_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that at least one in COMMON documents of a run of texts holds (and two), with how many hold them.
-
-    One that is as frequent in the corpus is as frequent in some run of it."""
+    """Shingles that several documents of a run of texts hold, with how many hold them."""
 
     def flush() -> Iterator[pa.RecordBatch]:
         x, n = np.unique(np.concatenate(held), return_counts=True)
-        keep = n >= max(2, docs / COMMON)
+        keep = n > 1
         yield pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)), pa.array(n[keep])], ["token", "df"])
 
-    held, total, docs = [], 0, 0
+    held, total = [], 0
     for batch in chunks(batches, "text", CHUNK):
         held.append(shingle_sets(*utf8(batch.column("text")))[0])
-        total, docs = total + len(held[-1]), docs + len(batch)
+        total += len(held[-1])
         if total >= FLUSH:
             yield from flush()
-            held, total, docs = [], 0, 0
+            held, total = [], 0
     if held:
         yield from flush()
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most common shingles, in order, and how many documents hold each at least: 12 MB at most."""
+    """The most common shingles, in order, and how many documents hold each at least."""
     counted = docs.select("text").mapInArrow(count_common, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
-    rows = docs.select(F.count("*")).first()[0]
-    table = counted.filter(F.col("df") >= max(8, rows // COMMON)).orderBy(F.desc("df"), "token").limit(MOST_COMMON).toArrow()
+    table = counted.filter(F.col("df") >= COMMON).orderBy(F.desc("df"), "token").limit(MOST_COMMON).toArrow()
     token, df = table.column("token").to_numpy().view(np.uint64), table.column("df").to_numpy()
     by = np.argsort(token)
     return token[by], np.minimum(df[by], 1 << 31).astype(np.uint32)
@@ -293,7 +291,7 @@ def joins(doc: np.ndarray, component: np.ndarray, sets: list[np.ndarray]) -> lis
         return x[:, None] != y
 
     out = []
-    for leaf, right, ok in RTree([unfolded(group_counts(x)) for x in sets], n).pairs(apart):
+    for leaf, right, ok in RTree([unfolded(group_counts(x, FINEST)) for x in sets], n).pairs(apart):
         some = np.unique(np.concatenate([sets[k] for k in leaf]))
         has = np.zeros((len(leaf), len(some) + 1), dtype=np.int32)
         for k, x in enumerate(leaf):
