@@ -12,6 +12,7 @@ would close it. Equal pages give equal texts.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -57,6 +58,7 @@ class Dom(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("", -1, 0, [], True)]
         self.open: list[tuple[str, int]] = []  # tag, node; -1 for inline elements
+        self.often: Counter[str] = Counter()  # open elements by tag
         self.blocks: list[tuple[int, str]] = []
         self.run: list[str] = []
         self.block, self.links, self.silent = 0, 0, 0
@@ -86,6 +88,7 @@ class Dom(HTMLParser):
                 self.run.append(" ")
             if tag not in VOID:
                 self.open.append((tag, -1))
+                self.often[tag] += 1
                 self.links += tag == "a"
                 self.silent += tag in SILENT
             return
@@ -94,6 +97,7 @@ class Dom(HTMLParser):
         self.nodes.append(Node(tag, self.block, self.nodes[self.block].depth + 1, names, any(k == "y" for k, _ in attrs)))
         if tag not in VOID:
             self.open.append((tag, len(self.nodes) - 1))
+            self.often[tag] += 1
             self.block = len(self.nodes) - 1
             self.silent += tag in SILENT
 
@@ -104,6 +108,7 @@ class Dom(HTMLParser):
 
     def pop(self) -> None:
         tag, node = self.open.pop()
+        self.often[tag] -= 1
         if node >= 0:
             self.end_run()
             self.block = self.nodes[node].parent
@@ -112,6 +117,8 @@ class Dom(HTMLParser):
         self.silent -= tag in SILENT
 
     def close(self, tags: tuple[str, ...] | set[str], stop: set[str], every: bool = False) -> None:
+        if not any(self.often[t] for t in tags):
+            return  # so a deep page is not walked up at every tag
         at, k = -1, len(self.open) - 1
         while k >= 0 and self.open[k][0] not in stop:
             if self.open[k][0] in tags:
@@ -219,7 +226,8 @@ class Model:
         own = np.zeros((n, 2))
         np.add.at(own[:, 1], f.row, self.weight[f.features])
         pair = self.edge[f.kind]
-        levels = [np.flatnonzero(f.depth == d) for d in range(int(f.depth.max(initial=0)) + 1)]
+        by = np.argsort(f.depth, kind="stable")
+        levels = np.split(by, np.searchsorted(f.depth[by], np.arange(1, int(f.depth.max(initial=0)) + 1)))
         up, message = own.copy(), np.zeros((n, 2))
         for at in reversed(levels[1:]):
             message[at] = np.logaddexp.reduce(pair[at] + up[at][:, None, :], axis=2)

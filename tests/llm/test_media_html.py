@@ -130,3 +130,17 @@ def test_beliefs_equal_enumeration():
         total += np.exp(s)
         ones += np.exp(s) * np.array(y)
     assert np.allclose(node[:, 1], ones / total)
+
+
+def test_deep_pages_take_time_in_proportion(spark):
+    """A page 20 000 elements deep ends well within a minute, and keeps its text."""
+    import time
+
+    model = html_extraction.trained()
+    deep = "<article>" + "<div>" * 20_000 + "<p>" + "Words of the article, quite a few of them. " * 30 + "</p>"
+    began = time.time()
+    rows = [(1, "u", deep), (1, "u", deep), (2, "u", None), (3, "u", "")]
+    out = html_extraction.html_extraction(spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int"), model).collect()
+    assert time.time() - began < 60 and len(out) == 4
+    assert {r.text for r in out if r.page_id != 1} == {""} and len({r.text for r in out if r.page_id == 1}) == 1
+    assert html_extraction.html_extraction(spark.createDataFrame([], "page_id long, url string, html string"), model).collect() == []
