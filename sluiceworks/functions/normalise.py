@@ -19,6 +19,8 @@ def _set(ranges: list[tuple[int, int]]) -> re.Pattern[str]:
 
 
 OBFUSCATION, COMBINING = _set(V.OBFUSCATION), _set(V.COMBINING)
+#: Whether neither class has a character of ASCII.
+PLAIN = not any(p.search(chr(c)) for p in (OBFUSCATION, COMBINING) for c in range(128))
 LOOKALIKES = {ord(a): b for keys, values in V.LOOKALIKES.items() for a, b in zip(keys, values, strict=True)}
 #: White space as Unicode defines it; Python's own class also has U+001C to U+001F.
 BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -53,9 +55,13 @@ def normalised(raw: str | None) -> tuple[str | None, bool, bool]:
     text = raw.replace("\r\n", "\n").replace("\r", "\n")
     if len(text.encode()) > V.MAX_BYTES:
         return None, False, True
-    text = unicodedata.normalize("NFKC", text)
-    text, dropped = OBFUSCATION.subn("", unicodedata.normalize("NFD", text))
-    text = unicodedata.normalize("NFC", COMBINING.sub("", text)).translate(LOOKALIKES)
+    if text.isascii() and PLAIN:  # no normal form changes it
+        dropped = 0
+    else:
+        text = unicodedata.normalize("NFKC", text)
+        text, dropped = OBFUSCATION.subn("", unicodedata.normalize("NFD", text))
+        text = unicodedata.normalize("NFC", COMBINING.sub("", text))
+    text = text.translate(LOOKALIKES)
     text = BLANKS.sub(" ", without_separators(text)).strip(" ")
     low = text.lower()
     for phrase, reading in V.LEADING:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,12 +15,17 @@ def literals(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def once(text: Column, then: Callable[[Column], Column]) -> Column:
+    """then(text) with the text computed once a row: inside a lambda it would be computed for every element."""
+    return F.get(F.transform(F.array(text), then), 0)
+
+
 def contains_any(text: Column, values: list[str]) -> Column:
-    return F.exists(literals(values), lambda v: F.contains(text, v))
+    return once(text, lambda t: F.exists(literals(values), lambda v: F.contains(t, v)))
 
 
 def starts_with_any(text: Column, values: list[str]) -> Column:
-    return F.exists(literals(values), lambda v: F.startswith(text, v))
+    return once(text, lambda t: F.exists(literals(values), lambda v: F.startswith(t, v)))
 
 
 def matches(text: Column, pattern: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.text import contains_any, literals, starts_with_any
+from ..functions.text import contains_any, literals, once, starts_with_any
 
 
 def points(text: Column) -> dict[str, Column]:
@@ -25,7 +25,7 @@ def points(text: Column) -> dict[str, Column]:
         "indirection": yes(contains_any(low, V.INDIRECTION), 3),
         "persona": yes(contains_any(low, V.PERSONA), 3),
         "negation": yes(contains_any(low, V.NEGATION), 3),
-        "payload": F.least(F.size(F.filter(literals(V.PAYLOAD_NOUNS), lambda k: F.contains(low, k))), F.lit(3)),
+        "payload": F.least(once(low, lambda t: F.size(F.filter(literals(V.PAYLOAD_NOUNS), lambda k: F.contains(t, k)))), F.lit(3)),
     }
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.text import contains_any, first_of, literals, matches, squeezed, starts_with_any, word_count
+from ..functions.text import contains_any, first_of, matches, squeezed, starts_with_any, word_count
 from ..plans.config import GateConfig
 from .channel_a import DEADLINE_US, _squeeze
 from .decisions import blocked, fault, forbidden, malformed, passed, reason
@@ -19,7 +19,7 @@ def _chars(text: Column, points: list[int]) -> Column:
 def fuzzy(low: Column, stripped: Column, keywords: list[str]) -> Column:
     """A keyword as it is, or its letters and digits in a row if they take over two bytes."""
     rows = sorted({s for k in keywords if len((s := _squeeze(k)).encode()) > 2})
-    return contains_any(low, keywords) | F.exists(literals(rows), lambda k: F.contains(stripped, k))
+    return contains_any(low, keywords) | contains_any(stripped, rows)
 
 
 #: The allow rules in order, as (id, intent, most words, needed parts). A part is (how, phrases).

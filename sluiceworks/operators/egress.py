@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.text import contains_any, first_of, literals
+from ..functions.text import contains_any, first_of, literals, once
 from .decisions import forbidden, malformed, passed
 
 
@@ -17,11 +17,11 @@ def significant(chunk: Column) -> Column:
 
 
 def leaked(prompt: Column, response: Column) -> Column:
-    """The first stretch of the prompt that the normalised response repeats, or null. Windows count characters."""
+    """The first stretch of the prompt that the response repeats, or null; both normalised. Windows count characters."""
     low, said = F.lower(prompt), F.lower(response)
     enough = (F.octet_length(low) >= V.LEAK_PROMPT) & (F.octet_length(said) >= V.LEAK_WINDOW) & (F.length(low) >= V.LEAK_WINDOW)
-    windows = F.transform(F.sequence(F.lit(1), F.length(low) - V.LEAK_WINDOW + 1), lambda i: F.substring(low, i, F.lit(V.LEAK_WINDOW)))
-    return F.when(enough, F.get(F.filter(windows, lambda c: F.contains(said, c) & significant(c)), 0))
+    windows = once(low, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - V.LEAK_WINDOW + 1), lambda i: F.substring(p, i, F.lit(V.LEAK_WINDOW))))
+    return F.when(enough, once(F.struct(said.alias("said"), windows.alias("windows")), lambda x: F.get(F.filter(x["windows"], lambda c: F.contains(x["said"], c) & significant(c)), 0)))
 
 
 def pii(text: Column) -> Column:

@@ -54,8 +54,10 @@ def labelled(df: DataFrame) -> DataFrame:
 
 
 def egress_verdicts(pairs: DataFrame, prompt: str = "prompt", response: str = "response") -> DataFrame:
-    """pairs with egress_kind, egress_reason and the reason's text."""
-    df = pairs.withColumn("_r", normalise(F.col(response))["text"])
-    df = df.withColumns({"_e": egress.channel_e(F.col(prompt), F.col(response), F.col("_r")), "_f": egress.channel_f(F.col(response))})
+    """pairs with egress_kind, egress_reason, the reason's text, and the hash of the normalised prompt.
+
+    Leakage is looked for in the normalised response, by stretches of the normalised prompt; a prompt that is too long has none."""
+    df = pairs.withColumns({"_p": normalise(F.col(prompt))["text"], "_r": normalise(F.col(response))["text"]})
+    df = df.withColumns({"_e": egress.channel_e(F.col("_p"), F.col(response), F.col("_r")), "_f": egress.channel_f(F.col(response))})
     df = df.withColumns({"egress_kind": egress.vote(F.col("_e"), F.col("_f")), "egress_reason": egress.egress_reason(F.col("_e"), F.col("_f"))})
-    return df.withColumns({"egress_text": egress.shown(F.col("egress_reason")), "input_hash": F.sha2(prompt, 256)}).drop("_r", "_e", "_f")
+    return df.withColumns({"egress_text": egress.shown(F.col("egress_reason")), "input_hash": F.sha2(F.coalesce("_p", prompt), 256)}).drop("_p", "_r", "_e", "_f")

@@ -281,7 +281,7 @@ def _echo(prompt: Column, response: Column) -> Column:
 
 
 @query(
-    f"WITH {_PAIRS}, e AS (SELECT conv_id, turn, lower(prompt) AS p, lower({FOLD.format(t='response')}) AS s FROM (SELECT conv_id, turn, prompt, CASE WHEN conv_id % 2 = 0 THEN response || ' ' || substr(prompt, 11, 60) ELSE response END AS response FROM q WHERE role = 'assistant' AND r0 = 'user')), "
+    f"WITH {_PAIRS}, e AS (SELECT conv_id, turn, lower({FOLD.format(t='prompt')}) AS p, lower({FOLD.format(t='response')}) AS s FROM (SELECT conv_id, turn, prompt, CASE WHEN conv_id % 2 = 0 THEN response || ' ' || substr(prompt, 11, 60) ELSE response END AS response FROM q WHERE role = 'assistant' AND r0 = 'user')), "
     f"c AS (SELECT conv_id, turn, i, substr(p, i, 20) AS chunk, s FROM (SELECT *, unnest(range(1, greatest(length(p) - 18, 1))) AS i FROM e WHERE strlen(p) >= 60 AND strlen(s) >= 20)), "
     f"h AS (SELECT conv_id, turn, arg_min(chunk, i) AS leak FROM (SELECT *, list_reduce(list_concat([regexp_replace(chunk, '[^A-Za-z0-9]', '', 'g')], {_list(V.CODE_WORDS)}), lambda acc, k: replace(acc, k, '')) AS rest FROM c WHERE contains(s, chunk)) WHERE length(rest) >= 10 GROUP BY conv_id, turn) "
     "SELECT e.conv_id, e.turn, h.leak FROM e LEFT JOIN h ON e.conv_id = h.conv_id AND e.turn = h.turn"
@@ -289,7 +289,7 @@ def _echo(prompt: Column, response: Column) -> Column:
 def prompt_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = conversation.pairs(table(spark, sf_dir, "conversations"))
     p = p.withColumn("response", _echo(F.col("prompt"), F.col("response")))
-    return p.withColumn("said", normalise("response")["text"]).select("conv_id", "turn", egress.leaked(F.col("prompt"), F.col("said")).alias("leak"))
+    return p.withColumns({"asked": normalise("prompt")["text"], "said": normalise("response")["text"]}).select("conv_id", "turn", egress.leaked(F.col("asked"), F.col("said")).alias("leak"))
 
 
 @query()
