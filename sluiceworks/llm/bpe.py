@@ -12,7 +12,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -21,10 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import chunks, numbered, spread
+from .ragged import SpanHash, chunks, numbered, spread
 
 #: Distinct pieces a worker remembers; beyond that it starts anew. It bounds memory and changes no result.
-MOST_PIECES = 200_000
+MOST_PIECES = 1_000_000
 #: UTF-8 bytes encoded at once.
 CHUNK = 2 << 20
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
@@ -128,7 +128,8 @@ class Bpe:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}  # pieces to rows of place and count
+        self.known = np.zeros(0, np.uint64)  # hashes of pieces, sorted
+        self.check = np.zeros(0, np.uint64)  # a second hash of each, with another seed
         self.place = np.zeros(0, np.int64)  # of their ids in flat
         self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int64)
@@ -204,21 +205,35 @@ class Bpe:
         left = np.flatnonzero(alive[:n])
         return sym[left], np.diff(np.searchsorted(left, np.append(0, ends)))
 
-    def learn(self, pieces: list[bytes]) -> None:
+    def learn(self, hashes: np.ndarray, checks: np.ndarray, pieces: list[bytes]) -> None:
         ids, count = self.merge(pieces)
         place = len(self.flat) + np.cumsum(count) - count
-        self.known.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
-        self.flat, self.place, self.count = np.concatenate([self.flat, ids]), np.concatenate([self.place, place]), np.concatenate([self.count, count])
-
-    def rows(self, pieces: list[bytes]) -> np.ndarray:
-        """The rows of distinct pieces; those not yet known are merged together."""
-        new = [p for p in pieces if p not in self.known]
-        if new:
+        self.flat = np.concatenate([self.flat, ids])
+        known = np.concatenate([self.known, hashes])
+        by = np.argsort(known, kind="stable")
+        self.known, self.check, self.place, self.count = known[by], *(np.concatenate(x)[by] for x in ((self.check, checks), (self.place, place), (self.count, count)))
+
+    def find(self, hashes: np.ndarray, checks: np.ndarray, pieces: Callable[[np.ndarray], list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place and count of the ids of distinct pieces, and the ids these point into. `pieces` gives the bytes of some of them.
+
+        Known pieces are told by 128 bits. Should two pieces share the first 64, this run is merged without memory."""
+
+        def look() -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
+            return at, self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), dtype=bool)
+
+        at, seen = look()
+        if (self.check[at[seen]] != checks[seen]).any() or len(np.unique(hashes)) < len(hashes):
+            ids, count = self.merge(pieces(np.arange(len(hashes))))
+            return np.cumsum(count) - count, count, ids
+        new = np.flatnonzero(~seen)
+        if len(new):
             if len(self.known) + len(new) > MOST_PIECES:
                 self.forget()
-                new = pieces
-            self.learn(new)
-        return np.array([self.known[p] for p in pieces], dtype=np.int64)
+                new = np.arange(len(hashes))
+            self.learn(hashes[new], checks[new], pieces(new))
+            at, _ = look()
+        return self.place[at], self.count[at], self.flat
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and n + 1 offsets."""
@@ -249,10 +264,12 @@ class Bpe:
         raw = text.encode()
         at_byte = np.append(0, np.cumsum(1 + (cps >= 0x80) + (cps >= 0x800) + (cps >= 0x10000), dtype=np.int64))
         begin, end = at_byte[start], np.append(at_byte[start[1:]], len(raw))
-        where, number = numbered(np.frombuffer(raw, dtype=np.uint8), begin, end)
-        row = self.rows([raw[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)])[number]
-        count = self.count[row]
-        ids = self.flat[spread(self.place[row], count)]
+        spans = SpanHash(np.frombuffer(raw, dtype=np.uint8))
+        where, number = numbered(spans, begin, end)
+        a, b = begin[where], end[where]
+        place, count, flat = self.find(spans(a, b), spans(a, b, 1), lambda some: [raw[x:y] for x, y in zip(a[some].tolist(), b[some].tolist(), strict=True)])
+        count = count[number]
+        ids = flat[spread(place[number], count)]
         upto = np.append(0, np.cumsum(count))
         return ids, upto[np.append(0, np.searchsorted(start, ends))]
 

@@ -44,9 +44,9 @@ class SpanHash:
             at[:-n] |= at[n:] << np.uint64(8 * n)
         self.eight = at  # the eight bytes from each place on, little-endian
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def __call__(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
         size = end - start
-        h = mix(size.astype(np.uint64) * M2 + BASE)
+        h = mix(size.astype(np.uint64) * M2 + BASE + np.uint64(seed))
         live = np.flatnonzero((size > 0) & (size <= LONG))
         done = 0
         while len(live):
@@ -58,7 +58,7 @@ class SpanHash:
             done += 8
             live = live[left > 8]
         for i in np.flatnonzero(size > LONG).tolist():
-            h[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]], digest_size=8).digest(), "little")
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]], digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
         return h
 
     def same(self, start: np.ndarray, end: np.ndarray, start2: np.ndarray, end2: np.ndarray) -> np.ndarray:
@@ -78,9 +78,8 @@ class SpanHash:
         return out
 
 
-def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def numbered(spans: SpanHash, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which slice stands for each distinct content, and the number of each slice's content; bytes are compared."""
-    spans = SpanHash(data)
     hashes = spans(start, end)
     by = np.argsort(hashes, kind="stable")
     ordered = hashes[by]
@@ -89,7 +88,7 @@ def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     where, number = by[new], np.empty(len(by), np.int64)
     number[by] = np.cumsum(new) - 1
     if not spans.same(start, end, start[where][number], end[where][number]).all():  # two contents have one hash
-        raw, seen = data.tobytes(), {}
+        raw, seen = spans.data.tobytes(), {}
         number = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], dtype=np.int64)
         where = np.unique(number, return_index=True)[1]
     return where, number

@@ -326,7 +326,7 @@ def compare_contexts(rows: np.ndarray) -> np.ndarray:
     flat = rows["text"][np.repeat(np.arange(len(rows)), n), spread(lo, n)]
     at = np.cumsum(n) - n
     # What has the same anchor, bytes and place of the anchor in them is of one kind; bytes are compared.
-    key = np.unique(np.stack([rows["anchor"], lead[use].astype(np.uint64), numbered(flat, at, at + n)[1].astype(np.uint64)], 1), axis=0, return_inverse=True)[1].ravel()
+    key = np.unique(np.stack([rows["anchor"], lead[use].astype(np.uint64), numbered(SpanHash(flat), at, at + n)[1].astype(np.uint64)], 1), axis=0, return_inverse=True)[1].ravel()
     doc, start = rows["doc"], rows["start"].astype(np.int64) + lo
     again = doc > least_of_equal(key, doc)
     found = [spans(doc[again], start[again], (start + n)[again])]
