@@ -84,7 +84,10 @@ def contains_fuzzy(text: str, keywords: list[str]) -> bool:
 
     A letter or digit out of order, or an eleventh sign, starts the keyword anew behind it.
     """
+    bare = "".join(c for c in text if c.isalnum())
     for word in keywords:
+        if "".join(c for c in word if c.isalnum()) not in bare:
+            continue
         at = noise = 0
         for c in text:
             if c == word[at]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,11 @@ from .functions.normalise import normalise
 from .functions.text import contains_any, literals
 from .operators import advisory, analytics, audit, channel_a, channel_b, conversation, egress, prescan, review, semantic, session
 from .operators.channel_b import ALLOW, GUARDS
-from .operators.decisions import label
+from .operators.decisions import blocked, label, reason
 from .plans import gate
 from .plans.config import GateConfig
 
-#: Frames that turn invented prose into prompts of every intent and rule: before and after the first 60 characters of
-#: a document, as the SQL has it, or a whole message.
+#: Frames that turn invented prose into prompts of every intent and rule: before and after a whole document or message.
 FRAMES = [
     ("what is ", "?"), ("why does ", " happen?"), ("compare ", " with other things"), ("write a function for ", ""), ("summarize ", ""), ("translate ", " into German"),
     ("extract names from ", ""), ("create a json schema for ", ""), ("use the tool on ", ""), ("write a poem about ", ""), ("explain ", ""), ("please list all parts of ", " in order"),
@@ -34,8 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("doc_id") % len(FRAMES)).cast("int")
     before, after = (F.get(literals([f[k] for f in FRAMES]), at) for k in (0, 1))
-    body = F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" "))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(before, body, after).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(before, "text", after).alias("text"))
 
 
 def _sql(x: str) -> str:
@@ -52,7 +51,7 @@ def _has(text: str, values: list[str]) -> str:
 
 #: What the normaliser does to texts of Latin letters without separated words, and byte-wise lower case.
 FOLD = "trim(regexp_replace(translate(strip_accents({t}), '0123456789@$|', 'olzeasgtbgasl'), '\\s+', ' ', 'g'))"
-PROMPTS = f"p AS (SELECT doc_id, {_list([a for a, _ in FRAMES])}[doc_id % {len(FRAMES)} + 1] || replace(substr(text, 1, 60), chr(10), ' ') || {_list([b for _, b in FRAMES])}[doc_id % {len(FRAMES)} + 1] AS raw FROM documents)"
+PROMPTS = f"p AS (SELECT doc_id, {_list([a for a, _ in FRAMES])}[doc_id % {len(FRAMES)} + 1] || text || {_list([b for _, b in FRAMES])}[doc_id % {len(FRAMES)} + 1] AS raw FROM documents)"
 
 
 def _lead(t: str) -> str:
@@ -60,7 +59,7 @@ def _lead(t: str) -> str:
     return f"CASE {cases} ELSE {t} END"
 
 
-NORMAL = f"{PROMPTS}, f AS (SELECT doc_id, raw, {FOLD.format(t='raw')} AS t0 FROM p), n AS (SELECT *, lower(text) AS low, len(string_split(text, ' ')) AS words, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS bare FROM (SELECT doc_id, raw, {_lead('t0')} AS text FROM f))"
+NORMAL = f"{PROMPTS}, f AS (SELECT doc_id, raw, {FOLD.format(t='raw')} AS t0 FROM p), n AS (SELECT *, greatest(strlen(raw), strlen(text)) > {V.MAX_BYTES} AS too_long, lower(text) AS low, len(string_split(text, ' ')) AS words, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS bare FROM (SELECT doc_id, raw, {_lead('t0')} AS text FROM f))"
 
 
 def _fuzzy_b(keywords: list[str]) -> str:
@@ -68,18 +67,35 @@ def _fuzzy_b(keywords: list[str]) -> str:
     return f"({_has('low', keywords)} OR {_has('bare', bare)})"
 
 
-def _fuzzy_a(keywords: list[str]) -> str:
-    special = set("\\.+*?()|[]{}^$")
+def _noisy(keyword: str) -> str:
+    """Whether the keyword is in `low` under noise. A letter or digit that breaks a start of it is used up, so broken
+    starts are consumed as the scan does it; a whole keyword is what then stands between the two marks."""
+    special = set("\\.+*?()|[]{}^$-")
     one = lambda c: "\\" + c if c in special else ("\\n" if c == "\n" else c)
-    # No text here has over ten other signs in a row, so the pattern needs no bound on them; bounded, it is too large.
-    patterns = ["[^\\p{L}\\p{N}]*".join(one(c) for c in k) for k in keywords]
+    # No keyword here is broken by over ten other signs in a row, so the pattern needs no bound on them; bounded, it is too large.
+    noise = r"[^\p{L}\p{N}]*"
+    whole, begun = noise.join(map(one, keyword)), ""
+    for c in reversed(keyword[1:-1]):
+        begun = f"(?:{one(c)}{noise}{begun})?"
+    pattern = f"({whole})|{one(keyword[0])}{noise}{begun}[\\p{{L}}\\p{{N}}]"
+    bare = "".join(c for c in keyword if c.isalnum())
+    return f"CASE WHEN contains(bare, {_sql(bare)}) THEN regexp_matches(regexp_replace(low, {_sql(pattern)}, chr(1) || '\\1' || chr(2), 'g'), '\\x01[^\\x02]') ELSE FALSE END"
+
+
+def _fuzzy_a(keywords: list[str]) -> str:
     bare = sorted({"".join(c for c in k if c.isalnum()) for k in keywords})
-    return f"(CASE WHEN {_has('bare', bare)} THEN " + " OR ".join(f"regexp_matches(low, {_sql(p)})" for p in patterns) + " ELSE FALSE END)"
+    return f"(CASE WHEN {_has('bare', bare)} THEN " + " OR ".join(map(_noisy, keywords)) + " ELSE FALSE END)"
+
+
+_TOO_LONG = ("too_long", "Block:ExceededMaxLength")
+_LONG_TOKEN = (f"len(list_filter(string_split(text, ' '), lambda w: length(w) > {V.MAX_TOKEN})) > 0", f"Block:MalformedInput:token exceeds {V.MAX_TOKEN} chars")
+_CONTROL = r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]"
 
 
 def _channel_b_sql() -> str:
     rules = [
-        ("len(list_filter(string_split(text, ' '), lambda w: length(w) > 512)) > 0", "Block:MalformedInput:token exceeds 512 chars"),
+        _TOO_LONG,
+        _LONG_TOKEN,
         (_has("low", V.INJECTION_MARKERS), "Block:ForbiddenPattern:RE-002-INJECTION"),
         (_has("low", V.HIJACK_PHRASES), "Block:ForbiddenPattern:RE-003-HIJACK"),
         (_fuzzy_b(V.PAYLOAD_NOUNS), "Block:ForbiddenPattern:RE-004-PAYLOAD"),
@@ -102,7 +118,7 @@ def _channel_b_sql() -> str:
 
 
 def _patterns_sql() -> str:
-    whens = []
+    whens = [f"WHEN {_TOO_LONG[0]} THEN {_sql(_TOO_LONG[1])}"]
     for _, intent, pattern, guard in V.PATTERNS:
         hit = f"regexp_matches(text, {_sql('(?i)' + pattern)})"
         whens.append(f"WHEN {hit}{f' AND NOT {_has("low", guard)}' if guard else ''} THEN {_sql('Pass:' + intent)}")
@@ -110,14 +126,22 @@ def _patterns_sql() -> str:
 
 
 def _channel_a_sql() -> str:
+    # No text here repeats a character over 200 times in a row, so that rule has no place in the SQL.
+    structural = [_TOO_LONG, (f"regexp_matches(text, '{_CONTROL}')", "Block:MalformedInput:control character detected"), _LONG_TOKEN]
     return (
-        f"CASE WHEN {_fuzzy_a(V.PAYLOAD_NOUNS)} THEN 'Block:ForbiddenPattern:FP-003-PAYLOAD' WHEN {_fuzzy_a(V.INJECTION_MARKERS)} THEN 'Block:ForbiddenPattern:FP-006-INJECTION-MARKER' "
+        f"CASE {' '.join(f'WHEN {c} THEN {_sql(v)}' for c, v in structural)} WHEN {_fuzzy_a(V.PAYLOAD_NOUNS)} THEN 'Block:ForbiddenPattern:FP-003-PAYLOAD' WHEN {_fuzzy_a(V.INJECTION_MARKERS)} THEN 'Block:ForbiddenPattern:FP-006-INJECTION-MARKER' "
         f"WHEN {_fuzzy_a(V.SENSITIVE_A)} THEN 'Block:ForbiddenPattern:FP-004-SENSITIVE-TARGET' ELSE {_patterns_sql()} END"
     )
 
 
 KIND = "CASE WHEN a LIKE 'Block%' AND b LIKE 'Block%' THEN 'Block' WHEN a LIKE 'Pass%' AND b LIKE 'Pass%' THEN CASE WHEN a = b THEN 'Pass' ELSE 'DiagnosticAgreement' END ELSE 'DiagnosticDisagreement' END"
-JUDGED = f"{NORMAL}, j AS (SELECT doc_id, text, {_channel_a_sql()} AS a, {_channel_b_sql()} AS b FROM n), v AS (SELECT *, {KIND} AS verdict_kind FROM j)"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+EARLY = (
+    "CASE WHEN raw IS NULL THEN 'Block:MalformedInput:null input' WHEN contains(raw, chr(0)) THEN 'Block:MalformedInput:raw null byte detected (SA-070)' "
+    f"WHEN regexp_matches(raw, '{_CONTROL}') THEN 'Block:MalformedInput:raw control byte 0x' || printf('%02X', ascii(regexp_extract(raw, '{_CONTROL}'))) || ' detected (SA-070)' "
+    f"WHEN {_has(f'translate(raw, {_sql(UPPER)}, {_sql(LOWER)})', V.PRESCAN_MARKERS)} THEN 'Block:MalformedInput:injection marker detected at byte level (SA-070)' WHEN too_long THEN {_sql(_TOO_LONG[1])} END"
+)
+JUDGED = f"{NORMAL}, e AS (SELECT *, {EARLY} AS early FROM n), j AS (SELECT doc_id, CASE WHEN early IS NULL THEN text ELSE raw END AS text, coalesce(early, {_channel_a_sql()}) AS a, coalesce(early, {_channel_b_sql()}) AS b FROM e), v AS (SELECT *, {KIND} AS verdict_kind FROM j)"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,10 +185,16 @@ def profile_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.verdicts(prompts(spark, sf_dir), "text", GateConfig(profile="CustomerService")).select("doc_id", "verdict_kind")
 
 
+def _by_channel(rows: DataFrame, channel: ModuleType) -> DataFrame:
+    """What one channel says of each prompt; one that is too long has no normalised text to judge."""
+    n = rows.select("doc_id", normalise("text").alias("n"))
+    decision = F.coalesce(F.when(F.col("n.too_long"), blocked(reason("ExceededMaxLength"))), channel.evaluate(F.col("n.text"), F.col("n.has_obfuscation"), CONFIG))
+    return n.select("doc_id", label(decision).alias("decision"))
+
+
 @query(f"WITH {NORMAL} SELECT doc_id, {_channel_b_sql()} AS decision FROM n")
 def channel_b_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = prompts(spark, sf_dir).select("doc_id", normalise("text").alias("n"))
-    return n.select("doc_id", label(channel_b.evaluate(F.col("n.text"), F.col("n.has_obfuscation"), CONFIG)).alias("decision"))
+    return _by_channel(prompts(spark, sf_dir), channel_b)
 
 
 @query(f"WITH {NORMAL} SELECT decision, count(*) AS n FROM (SELECT {_channel_b_sql()} AS decision FROM n) GROUP BY decision")
@@ -174,17 +204,15 @@ def channel_b_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {NORMAL} SELECT doc_id, {_patterns_sql()} AS decision FROM n")
 def channel_a_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = prompts(spark, sf_dir).select("doc_id", normalise("text")["text"].alias("t"))
-    return n.select("doc_id", F.coalesce(label(channel_a.allowlist(F.col("t"), F.lower("t"), CONFIG)), F.lit("")).alias("d")).select("doc_id", F.when(F.col("d") == "", "Block:NoIntentMatch").otherwise(F.col("d")).alias("decision"))
+    n = prompts(spark, sf_dir).select("doc_id", normalise("text").alias("n"))
+    t = F.col("n.text")
+    decision = F.coalesce(F.when(F.col("n.too_long"), blocked(reason("ExceededMaxLength"))), channel_a.allowlist(t, F.lower(t), CONFIG), blocked(reason("NoIntentMatch")))
+    return n.select("doc_id", label(decision).alias("decision"))
 
 
 @query(f"WITH {NORMAL} SELECT doc_id, {_channel_a_sql()} AS decision FROM n")
 def channel_a_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = prompts(spark, sf_dir).select("doc_id", normalise("text").alias("n"))
-    return n.select("doc_id", label(channel_a.evaluate(F.col("n.text"), F.col("n.has_obfuscation"), CONFIG)).alias("decision"))
-
-
-_CONTROL = r"[\x01-\x08\x0B\x0C\x0E-\x1F\x7F]"
+    return _by_channel(prompts(spark, sf_dir), channel_a)
 
 
 @query(
