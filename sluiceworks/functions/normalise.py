@@ -82,7 +82,8 @@ def normalise(raw: pd.Series) -> pd.DataFrame:
 def contains_fuzzy(text: str, keywords: list[str]) -> bool:
     """Whether a keyword's characters come in order with at most ten other signs between two of them.
 
-    A letter or digit out of order, or an eleventh sign, starts the keyword anew behind it.
+    A letter or digit out of order, or an eleventh sign, starts the keyword anew behind it. Only keywords whose letters
+    and digits stand in a row in the text's are looked for sign by sign.
     """
     bare = "".join(c for c in text if c.isalnum())
     for word in keywords:

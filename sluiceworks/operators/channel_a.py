@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.normalise import fuzzy_udf
-from ..functions.text import contains_any, first_of, literals, matches, squeezed
+from ..functions.text import contains_any, first_of, matches
 from ..plans.config import GateConfig
 from .decisions import fault, forbidden, malformed, passed, blocked, reason
 
@@ -29,23 +29,9 @@ def _squeeze(word: str) -> str:
     return "".join(c for c in word if c.isalnum())
 
 
-def may_hold(low: Column, keywords: list[str]) -> Column:
-    """Whether a keyword can be in the text under noise: its letters and digits in a row, and each of its other signs."""
-    by_signs: dict[str, set[str]] = {}
-    for k in keywords:
-        by_signs.setdefault("".join(sorted({c for c in k if not c.isalnum() and c != " "})), set()).add(_squeeze(k))
-    out = F.lit(False)
-    for signs, words in sorted(by_signs.items()):
-        hit = F.exists(literals(sorted(words)), lambda k: F.contains(squeezed(low), k))
-        for c in signs:
-            hit = F.contains(low, F.lit(c)) & hit
-        out = out | hit
-    return out
-
-
 def fuzzy(low: Column, keywords: list[str]) -> Column:
-    """contains_fuzzy; only texts that may hold a keyword go to Python."""
-    return fuzzy_udf(keywords)(F.when(may_hold(low, keywords), low))
+    """contains_fuzzy over a column, in Arrow batches."""
+    return fuzzy_udf(keywords)(low)
 
 
 def allowlist(text: Column, low: Column, config: GateConfig) -> Column:
