@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, jaccard_join, language_id, media, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
+from . import html_extraction, jaccard_join, language_id, license_scan, media, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, vector_codes
 from .bpe import bpe_round_trip
 from .shared import new_path
 
@@ -60,6 +60,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_suffix_dedup, op3_bpe, op4_quality_classifier, op5_media_columns, op6_html_extraction, op7_language_id, op8_token_counts, op9_best_fit_packing, op10_quality_rules)}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
 
-ORACLES: dict[str, str] = {"op10_quality_rules": quality_rules.oracle_sql()}
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+_ALL = [
+    op1_jaccard_join, op2_suffix_dedup, op3_bpe, op4_quality_classifier, op5_media_columns, op6_html_extraction, op7_language_id, op8_token_counts, op9_best_fit_packing, op10_quality_rules,
+    op11_license_scan, op13_vector_codes,
+]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+
+ORACLES: dict[str, str] = {"op10_quality_rules": quality_rules.oracle_sql(), "op13_vector_codes": vector_codes.oracle_sql()}
