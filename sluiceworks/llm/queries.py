@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, jaccard_join, language_id, license_scan, media, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, vector_codes
+from . import html_extraction, jaccard_join, language_id, license_scan, media, packing, prefix_trie, quality_classifier, quality_rules, suffix_dedup, token_counts, vector_codes
 from .bpe import bpe_round_trip
 from .shared import new_path
 
@@ -64,14 +64,18 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 _ALL = [
     op1_jaccard_join, op2_suffix_dedup, op3_bpe, op4_quality_classifier, op5_media_columns, op6_html_extraction, op7_language_id, op8_token_counts, op9_best_fit_packing, op10_quality_rules,
-    op11_license_scan, op13_vector_codes,
+    op11_license_scan, op12_prefix_trie, op13_vector_codes,
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {"op10_quality_rules": quality_rules.oracle_sql(), "op13_vector_codes": vector_codes.oracle_sql()}
+ORACLES: dict[str, str] = {"op10_quality_rules": quality_rules.oracle_sql(), "op12_prefix_trie": prefix_trie.oracle_sql(), "op13_vector_codes": vector_codes.oracle_sql()}
