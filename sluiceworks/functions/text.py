@@ -7,10 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters and digits of any script, as a class for Java's patterns.
-ALNUM = r"\p{IsAlphabetic}\p{N}"
-
-
 def literals(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -24,6 +20,14 @@ def contains_any(text: Column, values: list[str]) -> Column:
     return once(text, lambda t: F.exists(literals(values), lambda v: F.contains(t, v)))
 
 
+def has_any(text: Column, values: list[str]) -> Column:
+    """contains_any for a text that is a column as it stands, so that nothing is computed again for each value."""
+    hit = F.lit(False)
+    for v in values:
+        hit = hit | F.contains(text, F.lit(v))
+    return hit
+
+
 def starts_with_any(text: Column, values: list[str]) -> Column:
     return once(text, lambda t: F.exists(literals(values), lambda v: F.startswith(t, v)))
 
@@ -33,15 +37,5 @@ def matches(text: Column, pattern: str) -> Column:
     return text.rlike("(?iuUd)" + pattern)
 
 
-def squeezed(text: Column) -> Column:
-    """Letters and digits only."""
-    return F.regexp_replace(text, f"[^{ALNUM}]", "")
-
-
-def word_count(text: Column) -> Column:
-    """Words of a text without leading, trailing or doubled blanks."""
-    return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
-
-
 def first_of(*rules: Column) -> Column:
     return F.coalesce(*rules)

@@ -6,32 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.text import contains_any, literals, once, starts_with_any
+from ..functions.screen import has
+from ..functions.text import starts_with_any
 
 
-def points(text: Column) -> dict[str, Column]:
-    """What each heuristic adds, on normalised text."""
-    low, n = F.lower(text), F.length(text)
+def points(screened: Column) -> dict[str, Column]:
+    """What each heuristic adds, on a screened prompt."""
+    text, low, n = screened["text"], screened["low"], F.length(screened["text"])
     yes = lambda cond, p: F.when(cond, p).otherwise(0)
-    kept = lambda pattern: F.length(F.regexp_replace(text, f"[^{pattern}]", ""))
     special = n - F.length(F.translate(text, V.ADVISORY_SPECIAL, ""))
-    encoded = lambda x: (F.octet_length(x) >= 20) & x.rlike(r"^[A-Za-z0-9+/=]+\z")
-    letters = kept(r"\p{IsAlphabetic}")
     return {
         "special": yes((n > 0) & (special * 10 > n), 3),
         "imperative": yes(starts_with_any(low, V.IMPERATIVES), 3),
-        "capitals": yes((letters > 10) & (kept(r"\p{IsUppercase}") * 2 > letters), 1),
-        "encoded": yes(F.exists(F.split(text, " "), encoded), 3),
-        "indirection": yes(contains_any(low, V.INDIRECTION), 3),
-        "persona": yes(contains_any(low, V.PERSONA), 3),
-        "negation": yes(contains_any(low, V.NEGATION), 3),
-        "payload": F.least(once(low, lambda t: F.size(F.filter(literals(V.PAYLOAD_NOUNS), lambda k: F.contains(t, k)))), F.lit(3)),
+        "capitals": yes((screened["letters"] > 10) & (screened["capitals"] * 2 > screened["letters"]), 1),
+        "encoded": yes(text.rlike(r"(^| )[A-Za-z0-9+/=]{20,}( |\z)"), 3),
+        "indirection": yes(has(screened, "indirection"), 3),
+        "persona": yes(has(screened, "persona"), 3),
+        "negation": yes(has(screened, "negation"), 3),
+        "payload": F.least(screened["nouns"], F.lit(3)),
     }
 
 
-def score(text: Column) -> Column:
+def score(screened: Column) -> Column:
     total = F.lit(0)
-    for p in points(text).values():
+    for p in points(screened).values():
         total = total + p
     return total.cast("int")
 

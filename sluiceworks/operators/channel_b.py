@@ -6,22 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.text import contains_any, first_of, matches, squeezed, starts_with_any, word_count
+from ..functions.screen import has
+from ..functions.text import first_of, has_any, matches, starts_with_any
 from ..plans.config import GateConfig
-from .channel_a import DEADLINE_US, _squeeze
+from .channel_a import DEADLINE_US
 from .decisions import blocked, fault, forbidden, malformed, passed, reason
 
 
-def _chars(text: Column, points: list[int]) -> Column:
-    return contains_any(text, [chr(p) for p in points])
-
-
-def fuzzy(low: Column, stripped: Column, keywords: list[str]) -> Column:
-    """A keyword as it is, or its letters and digits in a row if they take over two bytes."""
-    rows = sorted({s for k in keywords if len((s := _squeeze(k)).encode()) > 2})
-    return contains_any(low, keywords) | contains_any(stripped, rows)
-
-
 #: The allow rules in order, as (id, intent, most words, needed parts). A part is (how, phrases).
 ALLOW = [
     ("RE-013", "TaskDataExtraction", 80, [("has", ["extract", "pull out", "list all", "find all", "get all", "retrieve all"]), ("has", [" from ", " in "])]),
@@ -39,32 +30,31 @@ ALLOW = [
     ("RE-060", "AgenticToolUse", 60, [("has", ["use", "call", "invoke", "execute", "trigger", "run"]), ("has", ["tool", "function", "plugin", "action"])]),
     ("RE-099", "ControlledCreative", 60, [("has", ["write", "tell me", "create", "compose"]), ("has", ["a story", "a short story", "a poem", "a haiku", "a limerick", "a narrative", "a tale", "a fable"])]),
 ]
-GUARDS = {"RE-050": V.GUARD_050_B, "RE-099": V.GUARD_099_B}
+GUARDED = {"RE-050": V.GUARD_050_B, "RE-099": V.GUARD_099_B}
 
 
-def evaluate(text: Column, has_obfuscation: Column, config: GateConfig, elapsed_us: Column | None = None) -> Column:
-    """The decision of channel B."""
-    low, words = F.lower(text), word_count(text)
-    stripped = squeezed(low)
+def evaluate(screened: Column, config: GateConfig, elapsed_us: Column | None = None) -> Column:
+    """The decision of channel B on a screened prompt."""
+    text, low = screened["text"], screened["low"]
     rules = [F.when(elapsed_us >= DEADLINE_US, fault("WatchdogFired"))] if elapsed_us is not None else []
     rules += [
-        F.when(has_obfuscation, malformed("obfuscation characters detected")),
-        F.when(F.exists(F.split(text, " "), lambda w: F.length(w) > V.MAX_TOKEN), malformed("token exceeds 512 chars")),
-        F.when(contains_any(low, V.INJECTION_MARKERS), forbidden("RE-002-INJECTION")),
-        F.when(contains_any(low, V.HIJACK_PHRASES), forbidden("RE-003-HIJACK")),
-        F.when(fuzzy(low, stripped, config.payload_b), forbidden("RE-004-PAYLOAD")),
-        F.when(fuzzy(low, stripped, V.SENSITIVE_B), forbidden("RE-005-SENSITIVE-TARGET")),
-        F.when(_chars(text, V.ZERO_WIDTH), malformed("zero-width or invisible formatting character detected")),
-        F.when(_chars(text, V.BIDI), malformed("bidirectional override or isolate character detected")),
+        F.when(screened["has_obfuscation"], malformed("obfuscation characters detected")),
+        F.when(screened["longest"] > V.MAX_TOKEN, malformed("token exceeds 512 chars")),
+        F.when(has(screened, "markers_b"), forbidden("RE-002-INJECTION")),
+        F.when(has(screened, "hijack"), forbidden("RE-003-HIJACK")),
+        F.when(has(screened, "payload_b"), forbidden("RE-004-PAYLOAD")),
+        F.when(has(screened, "sensitive_b"), forbidden("RE-005-SENSITIVE-TARGET")),
+        F.when(has_any(text, [chr(p) for p in V.ZERO_WIDTH]), malformed("zero-width or invisible formatting character detected")),
+        F.when(has_any(text, [chr(p) for p in V.BIDI]), malformed("bidirectional override or isolate character detected")),
         F.when(text.rlike(r"[\x{E0000}-\x{E007F}]"), malformed("unicode tag character detected")),
     ]
-    parts = {"has": lambda p: contains_any(low, p), "starts": lambda p: starts_with_any(low, p), "asks": lambda _: F.endswith(text, F.lit("?"))}
+    parts = {"has": lambda p: has_any(low, p), "starts": lambda p: starts_with_any(low, p), "asks": lambda _: F.endswith(text, F.lit("?"))}
     for rule, intent, most, needed in ALLOW:
-        hit = words <= most
+        hit = screened["words"] <= most
         for how, phrases in needed:
             hit &= parts[how](phrases)
-        if rule in GUARDS:
-            rules.append(F.when(hit & contains_any(low, GUARDS[rule]), forbidden(f"{rule}-GUARD")))
+        if rule in GUARDED:
+            rules.append(F.when(hit & has(screened, f"guard_{rule[3:]}_b"), forbidden(f"{rule}-GUARD")))
         rules.append(F.when(hit, passed(intent)))
     rules += [F.when(matches(text, c.regex), passed(c.intent)) for c in config.intents if not c.id.startswith("IP-0")]
     return first_of(*rules, blocked(reason("NoIntentMatch")))

@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalise import normalise
+from ..functions.screen import screen
 from ..operators import advisory, channel_a, channel_b, egress, prescan, voter
 from ..operators.decisions import blocked, label, malformed, reason
 from .config import GateConfig
 
 
+def screened(text: Column, config: GateConfig) -> Column:
+    """What both channels and the advisory read of a prompt."""
+    return screen(text, config.payload_a, config.payload_b, config.forbidden_keywords)
+
+
 def verdicts(prompts: DataFrame, text: str = "text", config: GateConfig | None = None, raw: bool = True) -> DataFrame:
     """prompts with verdict_kind, is_pass, channel_a, channel_b, block_reason, input_hash, advisory and normalised.
 
     raw=False leaves out the byte scan, for text that was normalised before. Null texts are blocked as malformed.
     """
     config = config or GateConfig()
-    df = prompts.withColumn("_n", normalise(F.col(text)))
+    df = prompts.withColumn("_n", screened(F.col(text), config))
     df = df.withColumns({"normalised": F.col("_n.text"), "_found": prescan.finding(F.col(text)) if raw else F.lit(None).cast("string")})
-    t, obfuscated = F.col("normalised"), F.col("_n.has_obfuscation")
+    n = F.col("_n")
     early = F.coalesce(
         F.when(F.col(text).isNull(), malformed("null input")),
         F.when(F.col("_found").isNotNull(), malformed(F.col("_found"))),
         F.when(F.col("_n.too_long"), blocked(reason("ExceededMaxLength"))),
     )
     df = df.withColumn("_early", early)
-    df = df.withColumns({"_a": F.coalesce("_early", channel_a.evaluate(t, obfuscated, config)), "_b": F.coalesce("_early", channel_b.evaluate(t, obfuscated, config))})
+    df = df.withColumns({"_a": F.coalesce("_early", channel_a.evaluate(n, config)), "_b": F.coalesce("_early", channel_b.evaluate(n, config))})
     df = df.withColumn("_kind", voter.decide(F.col("_a"), F.col("_b")))
     df = df.withColumn("_not", voter.prohibited(F.col("_kind"), F.col("_a"), F.col("_b"), config.profile))
     df = df.withColumns(
@@ -40,8 +46,8 @@ def verdicts(prompts: DataFrame, text: str = "text", config: GateConfig | None =
         {
             "is_pass": F.col("verdict_kind").isin("Pass", "DiagnosticAgreement"),
             "block_reason": voter.block_reason(F.col("verdict_kind"), F.col("channel_a"), F.col("channel_b")),
-            "input_hash": F.sha2(F.when(F.col("_early").isNull(), t).otherwise(F.col(text)), 256),
-            "advisory": advisory.tag(F.coalesce(advisory.score(t), F.lit(0)), F.col("verdict_kind")),
+            "input_hash": F.sha2(F.when(F.col("_early").isNull(), F.col("normalised")).otherwise(F.col(text)), 256),
+            "advisory": advisory.tag(F.coalesce(advisory.score(n), F.lit(0)), F.col("verdict_kind")),
             "early": F.col("_early").isNotNull(),
         }
     )

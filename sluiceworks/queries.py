@@ -12,7 +12,7 @@ from .functions import vocab as V
 from .functions.normalise import normalise
 from .functions.text import contains_any, literals
 from .operators import advisory, analytics, audit, channel_a, channel_b, conversation, egress, prescan, review, semantic, session
-from .operators.channel_b import ALLOW, GUARDS
+from .operators.channel_b import ALLOW, GUARDED
 from .operators.decisions import blocked, label, reason
 from .plans import gate
 from .plans.config import GateConfig
@@ -111,8 +111,8 @@ def _channel_b_sql() -> str:
             else:
                 parts.append(f"(len(list_filter({_list(phrases)}, lambda k: starts_with(low, k))) > 0)")
         hit = " AND ".join(parts)
-        if rule in GUARDS:
-            rules.append((f"{hit} AND {_has('low', GUARDS[rule])}", f"Block:ForbiddenPattern:{rule}-GUARD"))
+        if rule in GUARDED:
+            rules.append((f"{hit} AND {_has('low', GUARDED[rule])}", f"Block:ForbiddenPattern:{rule}-GUARD"))
         rules.append((hit, f"Pass:{intent}"))
     return "CASE " + " ".join(f"WHEN {c} THEN {_sql(v)}" for c, v in rules) + " ELSE 'Block:NoIntentMatch' END"
 
@@ -187,8 +187,8 @@ def profile_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _by_channel(rows: DataFrame, channel: ModuleType) -> DataFrame:
     """What one channel says of each prompt; one that is too long has no normalised text to judge."""
-    n = rows.select("doc_id", normalise("text").alias("n"))
-    decision = F.coalesce(F.when(F.col("n.too_long"), blocked(reason("ExceededMaxLength"))), channel.evaluate(F.col("n.text"), F.col("n.has_obfuscation"), CONFIG))
+    n = rows.select("doc_id", gate.screened(F.col("text"), CONFIG).alias("n"))
+    decision = F.coalesce(F.when(F.col("n.too_long"), blocked(reason("ExceededMaxLength"))), channel.evaluate(F.col("n"), CONFIG))
     return n.select("doc_id", label(decision).alias("decision"))
 
 
@@ -204,9 +204,8 @@ def channel_b_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {NORMAL} SELECT doc_id, {_patterns_sql()} AS decision FROM n")
 def channel_a_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = prompts(spark, sf_dir).select("doc_id", normalise("text").alias("n"))
-    t = F.col("n.text")
-    decision = F.coalesce(F.when(F.col("n.too_long"), blocked(reason("ExceededMaxLength"))), channel_a.allowlist(t, F.lower(t), CONFIG), blocked(reason("NoIntentMatch")))
+    n = prompts(spark, sf_dir).select("doc_id", gate.screened(F.col("text"), CONFIG).alias("n"))
+    decision = F.coalesce(F.when(F.col("n.too_long"), blocked(reason("ExceededMaxLength"))), channel_a.allowlist(F.col("n"), CONFIG), blocked(reason("NoIntentMatch")))
     return n.select("doc_id", label(decision).alias("decision"))
 
 
@@ -243,8 +242,8 @@ def normalise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f" AS t FROM documents WHERE strlen(text) <= {V.MAX_BYTES}) SELECT doc_id, len(list_filter(string_split(t, ' '), lambda w: length(w) > {V.MAX_TOKEN})) > 0 AS long_token, regexp_matches(t, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') AS control FROM t"
 )
 def channel_a_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "documents").select("doc_id", normalise("text").alias("n")).filter("NOT n.too_long")
-    d = n.select("doc_id", channel_a.structural(F.col("n.text"), F.col("n.has_obfuscation"))["reason"]["detail"].alias("d"))
+    n = table(spark, sf_dir, "documents").select("doc_id", gate.screened(F.col("text"), CONFIG).alias("n")).filter("NOT n.too_long")
+    d = n.select("doc_id", channel_a.structural(F.col("n"))["reason"]["detail"].alias("d"))
     return d.select("doc_id", F.coalesce(F.col("d").contains("token"), F.lit(False)).alias("long_token"), F.coalesce(F.col("d").contains("control"), F.lit(False)).alias("control"))
 
 
@@ -263,8 +262,8 @@ def _advisory_sql() -> str:
 
 @query(f"WITH t AS (SELECT doc_id, {FOLD.format(t='text')} AS t FROM documents WHERE strlen(text) <= {V.MAX_BYTES}), l AS (SELECT *, lower(t) AS low FROM t) SELECT doc_id, ({_advisory_sql()})::INTEGER AS score FROM l")
 def advisory_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "documents").select("doc_id", normalise("text").alias("n")).filter("NOT n.too_long")
-    return n.select("doc_id", advisory.score(F.col("n.text")).alias("score"))
+    n = table(spark, sf_dir, "documents").select("doc_id", gate.screened(F.col("text"), CONFIG).alias("n")).filter("NOT n.too_long")
+    return n.select("doc_id", advisory.score(F.col("n")).alias("score"))
 
 
 def _pii_sql(t: str) -> str:
