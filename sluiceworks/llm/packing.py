@@ -26,6 +26,9 @@ from .shared import written
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length that one group ranks.
 GROUP = 50_000
+#: Of the solver: rounds of weights a phase, phases at most, the part of a scarcest row that a round covers, how fast weights shrink,
+#: how near the best value a configuration must come, and how much long pieces are favoured.
+ROUNDS, PHASES, STEP, RATE, NEAR, BIAS = 16, 12, 0.3, 3.0, 0.01, 0.3
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,39 +86,41 @@ class Knapsack:
             yield float(total[j]), config
 
 
-def fractional(demand: dict[int, int], capacity: int, fine: float = 1.0) -> tuple[dict[frozenset, float], float]:
+def least_sequences(demand: dict[int, int], capacity: int) -> float:
+    """A lower bound that needs no program: the dual feasible functions floor((k + 1) x) / k of a length's share x, and x itself."""
+    return max(float(sum(n * x for x, n in demand.items())) / capacity, *(sum(n * (((k + 1) * x - 1) // capacity) for x, n in demand.items()) / k for k in (1, 2, 3, 4)))
+
+
+def fractional(demand: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[dict[frozenset, float], float]:
     """How often to use which configurations to cover most of the demand, and a lower bound on any solution.
 
-    Multiplicative weights: a row is a length; its weight starts at its share of a sequence and shrinks
+    Multiplicative weights: a row is a length; its weight starts at its share of a sequence, with BIAS in favour of long pieces, and shrinks
     exponentially with the part of its demand that is covered. A round prices configurations by one knapsack over
-    the rows that are open, and uses those whose value comes near the best one's, each for a small part of what is
-    open in its scarcest row. A larger `fine` takes more and smaller steps. The weights of a round, divided by
-    the best configuration's value, are feasible in the dual program, so they bound it from below, as do the dual feasible functions
-    floor((k + 1) x) / k of a length's share x; the best of these bounds is kept.
+    the rows that are open, and uses those whose value is within NEAR of the best one's, each for STEP of what is
+    open in its scarcest row. It ends early when every row is covered but for a fiftieth. The weights of a round, divided by
+    the best configuration's value, are feasible in the dual program, so they bound it from below.
     """
-    rounds, step, rate, near = int(20 * fine), 0.3 / fine, 3 * fine, 0.1 / fine
     uses: dict[frozenset, float] = {}
     lengths = np.array(sorted(demand), dtype=np.int64)
     need = np.array([demand[k] for k in lengths.tolist()], dtype=np.float64)
-    open_, bound = need.copy(), 0.0
+    share = lengths / capacity
+    open_, bound = need.copy(), least_sequences(demand, capacity)
     place = np.zeros(capacity + 1, np.int64)
     place[lengths] = np.arange(len(lengths))
-    for k in (1, 2, 3, 4):
-        bound = max(bound, float((need * (((k + 1) * lengths - 1) // capacity)).sum() / k))
     for _ in range(rounds):
-        rows = np.flatnonzero(open_ > 1e-9)
+        rows = np.flatnonzero(open_ > 0.02 * need)
         if not len(rows):
             break
         covered = 1 - open_[rows] / need[rows]
-        weight = lengths[rows] / capacity * np.exp(-rate * (covered - covered.min()))
+        weight = share[rows] * (1 + BIAS * share[rows]) * np.exp(-RATE * (covered - covered.min()))
         knapsack = Knapsack(lengths[rows], weight, capacity)
         best = knapsack.best[capacity]
         bound = max(bound, float((need[rows] * weight).sum() / best))
         for value, config in knapsack.priced():
-            if value < best * (1 - near):
+            if value < best * (1 - NEAR):
                 break
             at, copies = place[list(config)], np.array(list(config.values()), dtype=np.float64)
-            times = step * float((open_[at] / copies).min())
+            times = STEP * float((open_[at] / copies).min())
             if times > 1e-9:
                 key = frozenset(config.items())
                 uses[key] = uses.get(key, 0.0) + times
@@ -155,21 +160,22 @@ def filled(left: dict[int, int], capacity: int) -> list[tuple[int, Counter]]:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = 2048, phases: int = 8) -> tuple[list[tuple[int, Counter]], dict[str, float]]:
+def plan(histogram: dict[int, int], capacity: int = 2048, phases: int = PHASES) -> tuple[list[tuple[int, Counter]], dict[str, float]]:
     """Bins as (how many, lengths in each) that hold exactly the histogram, and figures of the solution.
 
     Each phase solves the program for what is left and rounds it: the most used configurations come first, each
-    as often as the solution says, rounded up, while what is left allows it. What no whole configuration of the
-    last phase fits is filled in by the bounded knapsack. `bound` is the best dual bound of the whole program (no
-    packing has fewer sequences); `rounded` and `filled` count the sequences of the two steps.
+    as often as the solution says, rounded up, while what is left allows it. After every phase the rest is also filled in by the
+    bounded knapsack; the shortest of these packings is taken, of equals the one with the most phases. Phases end when nothing is left,
+    when the rest fits in one sequence, when a phase rounds nothing, or when the packing is as short as the bound. `bound` is
+    the best lower bound of the whole program (no packing has fewer sequences); `rounded` and `filled` count the sequences of the two steps.
     """
     left = {k: n for k, n in histogram.items() if n > 0}
     bins: list[tuple[int, Counter]] = []
-    lower = 0.0
-    fine = min(8.0, max(1.0, 2000 / max(len(left), 1)))
-    for phase in range(phases if left else 0):
-        solution, bound = fractional(left, capacity, fine)
+    lower, best, rest = 0.0, None, filled(left, capacity) if sum(k * n for k, n in left.items()) <= capacity else None
+    for phase in range(phases if left and rest is None else 0):
+        solution, bound = fractional(left, capacity)
         lower = lower if phase else bound
+        before = len(bins)
         for key, times in sorted(solution.items(), key=lambda x: (-x[1], sorted(x[0]))):
             config = Counter(dict(key))
             n = min([-int(-times // 1), *(left.get(k, 0) // a for k, a in config.items())])
@@ -178,9 +184,18 @@ def plan(histogram: dict[int, int], capacity: int = 2048, phases: int = 8) -> tu
                 for k, a in config.items():
                     left[k] -= n * a
         left = {k: n for k, n in left.items() if n}
-        if not left:
+        if len(bins) == before:
+            break
+        rest = filled(left, capacity)
+        total = sum(n for n, _ in bins) + sum(n for n, _ in rest)
+        if best is None or total <= best[0]:
+            best = total, len(bins), rest
+        if sum(k * n for k, n in left.items()) <= capacity:
             break
-    rest = filled(left, capacity)
+    if best is not None:
+        bins, rest = bins[: best[1]], best[2]
+    rest = rest or []
+    lower = lower or (least_sequences(histogram, capacity) if histogram else 0.0)
     return bins + rest, {"bound": lower, "rounded": sum(n for n, _ in bins), "filled": sum(n for n, _ in rest)}
 
 

@@ -184,3 +184,45 @@ def test_rollup_folds_and_still_knows_old_batches(spark):
         assert rollup.apply(str(k), spark.createDataFrame([("insert", "a", None, "t", 10, None), ("insert", f"s{k}", "en", "t", 1, None), ("delete", f"s{k - 1}", "en", "t", 1, None)], kind))
     assert rollup.generation() == 2 and not rollup.apply("0", spark.createDataFrame([("insert", "a", None, "t", 10, None)], kind))
     assert {tuple(r) for r in rollup.totals().collect()} == {("a", None, "t", 5, 50), ("s-1", "en", "t", -1, -1), ("s4", "en", "t", 1, 1)}
+
+
+def _best_fit(histogram, capacity):
+    """Best fit decreasing, piece by piece."""
+    import bisect
+
+    rooms = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            i = bisect.bisect_left(rooms, length)
+            room = rooms.pop(i) - length if i < len(rooms) else capacity - length
+            bisect.insort(rooms, room)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("kind", ["uniform", "narrow", "middle", "peaks"])
+def test_plan_against_best_fit(kind):
+    r = np.random.default_rng(3)
+    lengths = {
+        "uniform": lambda: r.integers(1, 2049, 20_000), "narrow": lambda: r.integers(600, 760, 20_000), "middle": lambda: r.integers(200, 1025, 20_000),
+        "peaks": lambda: np.clip(np.concatenate([r.normal(300, 40, 10_000), r.normal(900, 100, 5_000)]), 1, 2048).astype(int),
+    }[kind]()
+    histogram = Counter(lengths.tolist())
+    bins, figures = packing.plan(dict(histogram), 2048)
+    held = Counter()
+    for n, config in bins:
+        assert sum(k * a for k, a in config.items()) <= 2048
+        for k, a in config.items():
+            held[k] += n * a
+    total = sum(n for n, _ in bins)
+    assert held == histogram and total >= figures["bound"] - 1e-6 and figures["rounded"] > 0
+    assert total <= 1.001 * _best_fit(histogram, 2048)
+
+
+def test_tiny_histograms_take_no_time():
+    import time
+
+    began = time.perf_counter()
+    assert sum(n for n, _ in packing.plan({1: 3}, 2048)[0]) == 1
+    assert sum(n for n, _ in packing.plan({2048: 10**6}, 2048)[0]) == 10**6
+    assert packing.plan({}, 2048)[0] == []
+    assert time.perf_counter() - began < 1
