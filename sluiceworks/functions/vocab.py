@@ -1,8 +1,7 @@
 """Ordered vocabularies, limits and patterns of the text gate.
 
 Everything in capitals here is a fixed value: results depend on the exact entries and, where rules are tried
-in turn, on their order. Payload vocabularies run to many hundreds of entries and belong to a deployment, so
-they are a parameter (`sluiceworks.sources.vocabulary`); PAYLOAD_NOUNS is what is used without one.
+in turn, on their order. The payload vocabularies of the channels are made from rules (`payloads`) and a parameter of the gate.
 """
 
 MAX_BYTES = 8192

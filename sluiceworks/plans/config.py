@@ -6,7 +6,7 @@ import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from ..functions import vocab as V
+from ..functions.payloads import PAYLOADS
 
 
 @dataclass(frozen=True)
@@ -18,15 +18,15 @@ class CustomIntent:
 
 @dataclass(frozen=True)
 class GateConfig:
-    """payload_a and payload_b are the payload vocabularies of the channels; they are data of a deployment."""
+    """payload_a and payload_b are the payload vocabularies of the channels; a deployment may bring its own."""
 
     intents: list[CustomIntent] = field(default_factory=list)
     forbidden_keywords: list[str] = field(default_factory=list)
     context_window: int = 3
     audit_detail_level: str = "Basic"
     profile: str | None = None
-    payload_a: list[str] = field(default_factory=lambda: V.PAYLOAD_NOUNS)
-    payload_b: list[str] = field(default_factory=lambda: V.PAYLOAD_NOUNS)
+    payload_a: list[str] = field(default_factory=lambda: PAYLOADS)
+    payload_b: list[str] = field(default_factory=lambda: PAYLOADS)
 
 
 def load(path: str, lenient: bool = False) -> GateConfig:

@@ -68,7 +68,7 @@ def _fuzzy_b(keywords: list[str]) -> str:
 
 
 def _noisy(keyword: str) -> str:
-    """Whether the keyword is in `low` under noise. A letter or digit that breaks a start of it is used up, so broken
+    """A pattern that marks the keyword under noise. A letter or digit that breaks a start of it is used up, so broken
     starts are consumed as the scan does it; a whole keyword is what then stands between the two marks."""
     special = set("\\.+*?()|[]{}^$-")
     one = lambda c: "\\" + c if c in special else ("\\n" if c == "\n" else c)
@@ -77,14 +77,15 @@ def _noisy(keyword: str) -> str:
     whole, begun = noise.join(map(one, keyword)), ""
     for c in reversed(keyword[1:-1]):
         begun = f"(?:{one(c)}{noise}{begun})?"
-    pattern = f"({whole})|{one(keyword[0])}{noise}{begun}[\\p{{L}}\\p{{N}}]"
-    bare = "".join(c for c in keyword if c.isalnum())
-    return f"CASE WHEN contains(bare, {_sql(bare)}) THEN regexp_matches(regexp_replace(low, {_sql(pattern)}, chr(1) || '\\1' || chr(2), 'g'), '\\x01[^\\x02]') ELSE FALSE END"
+    return f"({whole})|{one(keyword[0])}{noise}{begun}[\\p{{L}}\\p{{N}}]"
 
 
-def _fuzzy_a(keywords: list[str]) -> str:
-    bare = sorted({"".join(c for c in k if c.isalnum()) for k in keywords})
-    return f"(CASE WHEN {_has('bare', bare)} THEN " + " OR ".join(map(_noisy, keywords)) + " ELSE FALSE END)"
+def _noisy_hits(**lists: list[str]) -> str:
+    """The CTEs kw and na: n with a flag for each list, whether one of its keywords is in `low` under noise. Only keywords whose letters and digits stand in a row, and whose first sign is there, are looked for."""
+    rows = ", ".join(f"({k}, {_sql(''.join(c for c in w if c.isalnum()))}, {_sql(next((c for c in w if not c.isalnum() and c != ' '), ''))}, {_sql(_noisy(w))})" for k, words in enumerate(lists.values()) for w in words)
+    flags = ", ".join(f"bool_or(list = {k}) AS {name}" for k, name in enumerate(lists))
+    hits = f"SELECT doc_id, {flags} FROM n JOIN kw ON contains(n.bare, kw.bare) AND contains(n.low, kw.sign) WHERE regexp_matches(regexp_replace(n.low, kw.pattern, chr(1) || '\\1' || chr(2), 'g'), '\\x01[^\\x02]') GROUP BY doc_id"
+    return f"kw(list, bare, sign, pattern) AS (VALUES {rows}), na AS (SELECT n.*, {', '.join(f'COALESCE(h.{x}, FALSE) AS {x}' for x in lists)} FROM n LEFT JOIN ({hits}) h ON h.doc_id = n.doc_id)"
 
 
 _TOO_LONG = ("too_long", "Block:ExceededMaxLength")
@@ -98,7 +99,7 @@ def _channel_b_sql() -> str:
         _LONG_TOKEN,
         (_has("low", V.INJECTION_MARKERS), "Block:ForbiddenPattern:RE-002-INJECTION"),
         (_has("low", V.HIJACK_PHRASES), "Block:ForbiddenPattern:RE-003-HIJACK"),
-        (_fuzzy_b(V.PAYLOAD_NOUNS), "Block:ForbiddenPattern:RE-004-PAYLOAD"),
+        (_fuzzy_b(CONFIG.payload_b), "Block:ForbiddenPattern:RE-004-PAYLOAD"),
         (_fuzzy_b(V.SENSITIVE_B), "Block:ForbiddenPattern:RE-005-SENSITIVE-TARGET"),
     ]
     for rule, intent, most, needed in ALLOW:
@@ -125,12 +126,16 @@ def _patterns_sql() -> str:
     return f"CASE {' '.join(whens)} ELSE 'Block:NoIntentMatch' END"
 
 
+NORMAL_A = f"{NORMAL}, {_noisy_hits(fp3=CONFIG.payload_a, fp6=V.INJECTION_MARKERS, fp4=V.SENSITIVE_A)}"
+
+
 def _channel_a_sql() -> str:
+    """Over the view na."""
     # No text here repeats a character over 200 times in a row, so that rule has no place in the SQL.
     structural = [_TOO_LONG, (f"regexp_matches(text, '{_CONTROL}')", "Block:MalformedInput:control character detected"), _LONG_TOKEN]
     return (
-        f"CASE {' '.join(f'WHEN {c} THEN {_sql(v)}' for c, v in structural)} WHEN {_fuzzy_a(V.PAYLOAD_NOUNS)} THEN 'Block:ForbiddenPattern:FP-003-PAYLOAD' WHEN {_fuzzy_a(V.INJECTION_MARKERS)} THEN 'Block:ForbiddenPattern:FP-006-INJECTION-MARKER' "
-        f"WHEN {_fuzzy_a(V.SENSITIVE_A)} THEN 'Block:ForbiddenPattern:FP-004-SENSITIVE-TARGET' ELSE {_patterns_sql()} END"
+        f"CASE {' '.join(f'WHEN {c} THEN {_sql(v)}' for c, v in structural)} WHEN fp3 THEN 'Block:ForbiddenPattern:FP-003-PAYLOAD' WHEN fp6 THEN 'Block:ForbiddenPattern:FP-006-INJECTION-MARKER' "
+        f"WHEN fp4 THEN 'Block:ForbiddenPattern:FP-004-SENSITIVE-TARGET' ELSE {_patterns_sql()} END"
     )
 
 
@@ -141,7 +146,7 @@ EARLY = (
     f"WHEN regexp_matches(raw, '{_CONTROL}') THEN 'Block:MalformedInput:raw control byte 0x' || printf('%02X', ascii(regexp_extract(raw, '{_CONTROL}'))) || ' detected (SA-070)' "
     f"WHEN {_has(f'translate(raw, {_sql(UPPER)}, {_sql(LOWER)})', V.PRESCAN_MARKERS)} THEN 'Block:MalformedInput:injection marker detected at byte level (SA-070)' WHEN too_long THEN {_sql(_TOO_LONG[1])} END"
 )
-JUDGED = f"{NORMAL}, e AS (SELECT *, {EARLY} AS early FROM n), j AS (SELECT doc_id, CASE WHEN early IS NULL THEN text ELSE raw END AS text, coalesce(early, {_channel_a_sql()}) AS a, coalesce(early, {_channel_b_sql()}) AS b FROM e), v AS (SELECT *, {KIND} AS verdict_kind FROM j)"
+JUDGED = f"{NORMAL_A}, e AS (SELECT *, {EARLY} AS early FROM na), j AS (SELECT doc_id, CASE WHEN early IS NULL THEN text ELSE raw END AS text, coalesce(early, {_channel_a_sql()}) AS a, coalesce(early, {_channel_b_sql()}) AS b FROM e), v AS (SELECT *, {KIND} AS verdict_kind FROM j)"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -209,7 +214,7 @@ def channel_a_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("doc_id", label(decision).alias("decision"))
 
 
-@query(f"WITH {NORMAL} SELECT doc_id, {_channel_a_sql()} AS decision FROM n")
+@query(f"WITH {NORMAL_A} SELECT doc_id, {_channel_a_sql()} AS decision FROM na")
 def channel_a_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_channel(prompts(spark, sf_dir), channel_a)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import payloads
+
 REASON = "struct<type:string,pattern_id:string,detail:string,intent:string>"
 CHANNEL = f"struct<channel:string,decision:struct<type:string,intent:string,reason:{REASON},pattern_id:string,code:string>,elapsed_us:bigint,similarity:float>"
 AUDIT = (
@@ -78,9 +80,9 @@ def conformance(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def vocabulary(path: str) -> list[str]:
-    """One entry a line, as it stands; for the payload vocabularies of a GateConfig."""
+    """Rules of a vocabulary, one a line (see `functions.payloads`); for the payload vocabularies of a GateConfig."""
     with open(path, encoding="utf-8") as f:
-        return list(dict.fromkeys(x.rstrip("\n") for x in f if x.strip()))
+        return payloads.vocabulary(f.read())
 
 
 def numbered(rows: DataFrame, order: str, first: int = 1) -> DataFrame:
