@@ -27,8 +27,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length that one group ranks.
 GROUP = 50_000
 #: Of the solver: rounds of weights a phase, phases at most, the part of a scarcest row that a round covers, how fast weights shrink,
-#: how near the best value a configuration must come, and how much long pieces are favoured.
-ROUNDS, PHASES, STEP, RATE, NEAR, BIAS = 16, 12, 0.3, 3.0, 0.01, 0.3
+#: how near the best value a configuration must come, how much long pieces are favoured, and the part of a row that may stay open.
+ROUNDS, PHASES, STEP, RATE, NEAR, BIAS, OPEN = 16, 12, 0.3, 3.0, 0.01, 0.3, 0.02
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,7 +97,7 @@ def fractional(demand: dict[int, int], capacity: int, rounds: int = ROUNDS) -> t
     Multiplicative weights: a row is a length; its weight starts at its share of a sequence, with BIAS in favour of long pieces, and shrinks
     exponentially with the part of its demand that is covered. A round prices configurations by one knapsack over
     the rows that are open, and uses those whose value is within NEAR of the best one's, each for STEP of what is
-    open in its scarcest row. It ends early when every row is covered but for a fiftieth. The weights of a round, divided by
+    open in its scarcest row. It ends when no row has more than OPEN of its demand left, and that much is added to all uses. The weights of a round, divided by
     the best configuration's value, are feasible in the dual program, so they bound it from below.
     """
     uses: dict[frozenset, float] = {}
@@ -108,7 +108,7 @@ def fractional(demand: dict[int, int], capacity: int, rounds: int = ROUNDS) -> t
     place = np.zeros(capacity + 1, np.int64)
     place[lengths] = np.arange(len(lengths))
     for _ in range(rounds):
-        rows = np.flatnonzero(open_ > 0.02 * need)
+        rows = np.flatnonzero(open_ > OPEN * need)
         if not len(rows):
             break
         covered = 1 - open_[rows] / need[rows]
@@ -125,7 +125,7 @@ def fractional(demand: dict[int, int], capacity: int, rounds: int = ROUNDS) -> t
                 key = frozenset(config.items())
                 uses[key] = uses.get(key, 0.0) + times
                 open_[at] = np.maximum(open_[at] - times * copies, 0)
-    return uses, bound
+    return {key: times / (1 - OPEN) for key, times in uses.items()}, bound
 
 
 def filled(left: dict[int, int], capacity: int) -> list[tuple[int, Counter]]:
