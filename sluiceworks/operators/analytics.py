@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,67 +91,6 @@ def sliding(audit: DataFrame, size: int) -> DataFrame:
     return rows.filter(keep).select((i - size + 1).alias("from_row"), i.alias("to_row"), "da_pct", "dd_pct", band(F.col("da_pct")).alias("band"))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - distance / greater length; 1 for two empty texts."""
-    most = F.greatest(F.length(a), F.length(b))
-    return F.when(most > 0, 1.0 - F.levenshtein(a, b) / most).otherwise(1.0)
-
-
-def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFrame:
-    """Pairs of similar texts. Rows meet by band of length, with both bands that a similar partner may be in."""
-    band_of = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / -F.log(F.lit(threshold)))
-    left = rows.select(F.col(key).alias("a"), F.col(text).alias("x")).withColumn("_n", F.length("x"))
-    right = rows.select(F.col(key).alias("b"), F.col(text).alias("y")).withColumn("_b", band_of(F.length("y")))
-    left = left.withColumn("_b", F.explode(F.array(*[band_of(F.col("_n")) + d for d in (-1, 0, 1)])))
-    pairs = left.join(right, "_b").filter("a < b").withColumn("similarity", similarity(F.col("x"), F.col("y")))
-    return pairs.filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
-
-
-def _distance_within(a: str, b: str, most: int) -> bool:
-    if abs(len(a) - len(b)) > most:
-        return False
-    row = list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, d in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
-        if min(row) > most:
-            return False
-    return row[-1] <= most
-
-
-def leader_clusters(rows: DataFrame, group: str, order: str, text: str, threshold: float = 0.85) -> DataFrame:
-    """Greedy leaders in order within each group: a text joins the first leader it is similar to. Leaders stay in memory."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, leaders = object(), []
-        for part in parts:
-            out = []
-            for g, t in zip(part["g"], part["t"], strict=True):
-                if g != at:
-                    at, leaders = g, []
-                for k, leader in enumerate(leaders):
-                    most = max(len(t), len(leader))
-                    if not most or t == leader or _distance_within(t, leader, int((1 - threshold) * most + 1e-9)):
-                        out.append(k)
-                        break
-                else:
-                    leaders.append(t)
-                    out.append(len(leaders) - 1)
-            yield pd.DataFrame({"g": part["g"], "o": part["o"], "cluster": out})
-
-    kind = dict(rows.dtypes)
-    picked = rows.filter(F.col(text) != "").select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(text).alias("t"))
-    done = picked.repartition("g").sortWithinPartitions("g", "o").mapInPandas(run, f"g {kind[group]}, o {kind[order]}, cluster long")
-    return done.withColumnsRenamed({"g": group, "o": order})
-
-
-def suspicious_clusters(clusters: DataFrame, group: str, k: int = 10) -> DataFrame:
-    """Clusters of more than one text, the largest k, with an alert over five."""
-    counts = clusters.groupBy(group, "cluster").agg(F.count("*").alias("n")).filter("n > 1")
-    return counts.orderBy(F.desc("n"), group, "cluster").limit(k).withColumn("alert", F.col("n") > 5)
-
-
 def texts_of(audit: DataFrame, texts: DataFrame) -> DataFrame:
     """audit with the stored texts of its hashes, null where there is none."""
     return audit.join(texts.withColumnRenamed("hash", "input_hash"), "input_hash", "left")

@@ -36,3 +36,17 @@ def mark_reviewed(items: DataFrame, marks: DataFrame, now_ns: Column) -> DataFra
 def stats(items: DataFrame, now_ns: Column) -> DataFrame:
     late = expired(now_ns)
     return items.agg(F.count("*").alias("total"), F.count_if((F.col("status") == "Pending") & ~late).alias("pending"), F.count_if(late).alias("expired"), F.count_if(F.col("status") == "Reviewed").alias("reviewed"))
+
+
+def transitions(items: DataFrame, marks: DataFrame, now_ns: Column) -> DataFrame:
+    """What happened to each item until now: (sequence, status, at_ns, by) with Pending when it was made, Reviewed at its first mark that is not earlier
+    than itself, and Expired at its deadline if that passed before a mark came. An item that expired can still be reviewed, as `mark_reviewed` has it.
+
+    marks: sequence, by, at_ns. Of marks at one time the least name counts; marks after now, or of no item, are as if they were not."""
+    first = items.select("sequence", "created_at_ns", "review_by_ns").join(marks, "sequence").filter((F.col("at_ns") >= F.col("created_at_ns")) & (F.col("at_ns") <= now_ns))
+    first = first.groupBy("sequence").agg(F.min(F.struct("at_ns", "by")).alias("m"))
+    known = items.filter(F.col("created_at_ns") <= now_ns).join(first, "sequence", "left")
+    late = (now_ns > F.col("review_by_ns")) & (F.col("m").isNull() | (F.col("m.at_ns") > F.col("review_by_ns")))
+    row = lambda status, at, by: F.struct(F.lit(status).alias("status"), at.alias("at_ns"), by.cast("string").alias("by"))
+    rows = F.array(row("Pending", F.col("created_at_ns"), F.lit(None)), F.when(late, row("Expired", F.col("review_by_ns"), F.lit(None))), F.when(F.col("m").isNotNull(), row("Reviewed", F.col("m.at_ns"), F.col("m.by"))))
+    return known.select("sequence", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("t")).select("sequence", "t.*")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import vocab as V
 from .functions.normalise import normalise
 from .functions.text import contains_any, literals
-from .operators import advisory, analytics, audit, channel_a, channel_b, conversation, egress, prescan, review, semantic, session
+from .operators import advisory, analytics, audit, channel_a, channel_b, conversation, egress, prescan, review, semantic, session, similarity
 from .operators.channel_b import ALLOW, GUARDED
 from .operators.decisions import blocked, label, reason
 from .plans import gate
@@ -463,20 +463,34 @@ def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.chain(rows, bytes(range(32))).select("chain_id", "sequence", "chain_hmac")
 
 
+def _tampered(chained: DataFrame) -> DataFrame:
+    """A chain as someone left it who changed some rows' hashes and some links."""
+    chained = chained.withColumn("input_hash", F.when(F.col("sequence") % 97 == 0, F.reverse("input_hash")).otherwise(F.col("input_hash")))
+    return chained.withColumn("chain_hmac", F.when(F.col("sequence") % 101 == 0, F.sha2("chain_hmac", 256)).otherwise(F.col("chain_hmac")))
+
+
+@query("WITH r AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id AS chain_id, event_id AS sequence FROM r WHERE event_id % 97 = 0 OR event_id % 101 = 0 OR before % 101 = 0")
+def tampered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a check of every link finds in a chain that was tampered with."""
+    rows = audit_rows(spark, sf_dir).select(F.col("user_id").alias("chain_id"), "sequence", F.col("decided_at_ns").alias("ingested_at_ns"), "decided_at_ns", "input_hash")
+    key = bytes(range(32))
+    return audit.verified(_tampered(audit.chain(rows, key)), key).filter("NOT valid").select("chain_id", "sequence")
+
+
 _PLAIN = "SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM benchmark"
 
 
 @query(f"WITH t AS ({_PLAIN}), p AS (SELECT a.item_id AS a, b.item_id AS b, 1.0::DOUBLE - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)) AS similarity FROM t a JOIN t b ON a.item_id < b.item_id) SELECT * FROM p WHERE similarity >= 0.3")
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
-    return analytics.similar_pairs(rows, "item_id", "text", 0.3)
+    return similarity.similar_pairs(rows, "item_id", "text", 0.3)
 
 
 @query()
 def similarity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's event properties, clustered in order."""
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "props")
-    return analytics.leader_clusters(rows, "user_id", "event_id", "props")
+    """All events in order, clustered by what was done as one text."""
+    text = F.concat_ws(" ", F.lit("the user with number"), F.col("user_id").cast("string"), F.lit("did"), "event_type", F.lit("with"), "props")
+    return similarity.leader_clusters(table(spark, sf_dir, "events").select("event_id", text.alias("text")), "event_id", "text")
 
 
 @query("SELECT d.doc_id, l.quality, l.toxic, d.lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import payloads
+from .tables import placed
 
 REASON = "struct<type:string,pattern_id:string,detail:string,intent:string>"
 CHANNEL = f"struct<channel:string,decision:struct<type:string,intent:string,reason:{REASON},pattern_id:string,code:string>,elapsed_us:bigint,similarity:float>"
@@ -21,13 +22,7 @@ def prompt_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Numbers are consecutive within a file: lines are counted by partition first, and only those counts meet.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"))
-    part = F.shiftright("_id", 33)
-    counts = lines.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    # One number per partition of the input: a short table whose size does not follow the lines.
-    before = counts.alias("x").join(counts.alias("y"), F.expr("y.part < x.part"), "left").groupBy("x.part").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))
-    rows = lines.withColumn("part", part).join(F.broadcast(before), "part")
-    return rows.select((F.col("before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias("sequence"), "text").filter(F.trim("text") != "")
+    return placed(spark.read.text(path).select(F.col("value").alias("text")), "sequence").select("sequence", "text").filter(F.trim("text") != "")
 
 
 def write_verdict_lines(verdicts: DataFrame, path: str, text: str = "text") -> None:
@@ -83,13 +78,3 @@ def vocabulary(path: str) -> list[str]:
     """Rules of a vocabulary, one a line (see `functions.payloads`); for the payload vocabularies of a GateConfig."""
     with open(path, encoding="utf-8") as f:
         return payloads.vocabulary(f.read())
-
-
-def numbered(rows: DataFrame, order: str, first: int = 1) -> DataFrame:
-    """rows with consecutive `sequence` numbers in an order, counted by range partitions: no task sees all rows."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = counts.alias("x").join(counts.alias("y"), F.expr("y._part < x._part"), "left").groupBy("x._part").agg(F.coalesce(F.sum("y._n"), F.lit(0)).alias("_before"))
-    out = ranged.withColumn("_part", part).join(F.broadcast(before), "_part")
-    return out.withColumn("sequence", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + first).drop("_id", "_part", "_before")

@@ -7,9 +7,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sluiceworks.operators import analytics, audit, conversation, egress, review, semantic, session
+from sluiceworks.operators import analytics, audit, conversation, egress, review, semantic, session, similarity
 from sluiceworks.plans import gate
-from sluiceworks.sources import io
+from sluiceworks.sources import io, tables
 from sluiceworks.streaming import gate_stream
 
 
@@ -73,7 +73,7 @@ def test_review_deadlines(spark):
 
 def test_similar_pairs_equal_brute_force(spark):
     texts = ["kitten", "kittens", "sitting", "", "a", "ab", "kitten", "a much longer text", "a much longer test"]
-    got = {(r.a, r.b) for r in analytics.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t", 0.8).collect()}
+    got = {(r.a, r.b) for r in similarity.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t", 0.8).collect()}
 
     def ratio(a, b):
         row = list(range(len(b) + 1))
@@ -121,7 +121,7 @@ def test_goals_of_any_case(spark, tmp_path):
 
 
 def test_numbers_follow_the_order(spark):
-    rows = io.numbered(spark.createDataFrame([(k * 7 % 50,) for k in range(50)], "v int"), "v").collect()
+    rows = tables.numbered(spark.createDataFrame([(k * 7 % 50,) for k in range(50)], "v int"), "v").collect()
     assert {r.v: r.sequence for r in rows} == {k: k + 1 for k in range(50)}
 
 
