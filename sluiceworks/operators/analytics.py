@@ -142,6 +142,17 @@ def block_rates(judged: DataFrame, by: str) -> DataFrame:
     return judged.groupBy(by).agg(F.count("*").alias("n"), F.count_if(~F.col("is_pass")).alias("blocked"), F.count_if("is_pass").alias("passed"), (100.0 * F.count_if(~F.col("is_pass")) / F.count("*")).alias("block_rate"))
 
 
+def divergences(judged: DataFrame, by: str | None = None) -> DataFrame:
+    """How far the channels agree, for all prompts or by label: passes with one intent and with two, blocks of both and of one, and the shares of the passes."""
+    count = lambda *kinds: F.count_if(F.col("verdict_kind").isin(*kinds))
+    rows = judged.groupBy(*([by] if by else [])).agg(
+        F.count("*").alias("total"), count("Pass", "DiagnosticAgreement").alias("passed"), count("Pass").alias("agreement"), count("DiagnosticAgreement").alias("diagnostic_agreement"),
+        F.count_if(~F.col("verdict_kind").isin("Pass", "DiagnosticAgreement")).alias("blocked"), count("DiagnosticDisagreement").alias("diagnostic_disagreement"),
+    )
+    share = lambda c, of: F.when(F.col(of) > 0, 100.0 * F.col(c) / F.col(of)).otherwise(0.0)
+    return rows.withColumns({"agreement_pct": share("agreement", "passed"), "diagnostic_agreement_pct": share("diagnostic_agreement", "passed"), "blocked_pct": share("blocked", "total")})
+
+
 def report(audit: DataFrame) -> DataFrame:
     """category, key, count, rate_pct of verdicts, reasons and advisories, as one table for a CSV file."""
     null = F.lit(None).cast("double")

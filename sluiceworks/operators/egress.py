@@ -6,22 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.text import contains_any, first_of, literals, once
+from ..functions import windows
+from ..functions.text import contains_any, first_of
 from .decisions import forbidden, malformed, passed
 
 
-def significant(chunk: Column) -> Column:
-    """Over nine letters and digits are left when words of code are taken out in order."""
-    left = F.aggregate(literals(V.CODE_WORDS), F.regexp_replace(chunk, "[^A-Za-z0-9]", ""), lambda acc, k: F.replace(acc, k, F.lit("")))
-    return F.length(left) >= V.LEAK_SIGNIFICANT
-
-
 def leaked(prompt: Column, response: Column) -> Column:
     """The first stretch of the prompt that the response repeats, or null; both normalised. Windows count characters."""
-    low, said = F.lower(prompt), F.lower(response)
-    enough = (F.octet_length(low) >= V.LEAK_PROMPT) & (F.octet_length(said) >= V.LEAK_WINDOW) & (F.length(low) >= V.LEAK_WINDOW)
-    windows = once(low, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - V.LEAK_WINDOW + 1), lambda i: F.substring(p, i, F.lit(V.LEAK_WINDOW))))
-    return F.when(enough, once(F.struct(said.alias("said"), windows.alias("windows")), lambda x: F.get(F.filter(x["windows"], lambda c: F.contains(x["said"], c) & significant(c)), 0)))
+    return windows.leaked(prompt, response)
 
 
 def pii(text: Column) -> Column:

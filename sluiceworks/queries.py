@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import vocab as V
 from .functions.normalise import normalise
 from .functions.text import contains_any, literals
-from .operators import advisory, analytics, audit, channel_a, channel_b, conversation, egress, prescan, review, semantic, session, similarity
+from .operators import advisory, analytics, audit, channel_a, channel_b, conversation, egress, findings, prescan, review, semantic, session, similarity
 from .operators.channel_b import ALLOW, GUARDED
 from .operators.decisions import blocked, label, reason
 from .plans import gate
@@ -312,19 +312,32 @@ def _echo(prompt: Column, response: Column) -> Column:
     return F.when(F.col("conv_id") % 2 == 0, F.concat(response, F.lit(" "), F.substring(prompt, 11, 60))).otherwise(response)
 
 
-@query(
-    f"WITH {_PAIRS}, e AS (SELECT conv_id, turn, lower({FOLD.format(t='prompt')}) AS p, lower({FOLD.format(t='response')}) AS s FROM (SELECT conv_id, turn, prompt, CASE WHEN conv_id % 2 = 0 THEN response || ' ' || substr(prompt, 11, 60) ELSE response END AS response FROM q WHERE role = 'assistant' AND r0 = 'user')), "
+_LEAKS = (
+    f"{_PAIRS}, e AS (SELECT conv_id, turn, prompt, response, lower({FOLD.format(t='prompt')}) AS p, lower({FOLD.format(t='response')}) AS s FROM (SELECT conv_id, turn, prompt, CASE WHEN conv_id % 2 = 0 THEN response || ' ' || substr(prompt, 11, 60) ELSE response END AS response FROM q WHERE role = 'assistant' AND r0 = 'user')), "
     f"c AS (SELECT conv_id, turn, i, substr(p, i, 20) AS chunk, s FROM (SELECT *, unnest(range(1, greatest(length(p) - 18, 1))) AS i FROM e WHERE strlen(p) >= 60 AND strlen(s) >= 20)), "
-    f"h AS (SELECT conv_id, turn, arg_min(chunk, i) AS leak FROM (SELECT *, list_reduce(list_concat([regexp_replace(chunk, '[^A-Za-z0-9]', '', 'g')], {_list(V.CODE_WORDS)}), lambda acc, k: replace(acc, k, '')) AS rest FROM c WHERE contains(s, chunk)) WHERE length(rest) >= 10 GROUP BY conv_id, turn) "
-    "SELECT e.conv_id, e.turn, h.leak FROM e LEFT JOIN h ON e.conv_id = h.conv_id AND e.turn = h.turn"
+    f"h AS (SELECT conv_id, turn, arg_min(chunk, i) AS leak FROM (SELECT *, list_reduce(list_concat([regexp_replace(chunk, '[^A-Za-z0-9]', '', 'g')], {_list(V.CODE_WORDS)}), lambda acc, k: replace(acc, k, '')) AS rest FROM c WHERE contains(s, chunk)) WHERE length(rest) >= 10 GROUP BY conv_id, turn), l AS (SELECT e.*, h.leak FROM e LEFT JOIN h ON e.conv_id = h.conv_id AND e.turn = h.turn)"
 )
+
+
+@query(f"WITH {_LEAKS} SELECT conv_id, turn, leak FROM l")
 def prompt_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = conversation.pairs(table(spark, sf_dir, "conversations"))
     p = p.withColumn("response", _echo(F.col("prompt"), F.col("response")))
     return p.withColumns({"asked": normalise("prompt")["text"], "said": normalise("response")["text"]}).select("conv_id", "turn", egress.leaked(F.col("asked"), F.col("said")).alias("leak"))
 
 
-@query()
+def _egress_sql() -> str:
+    framed = " ".join(f"WHEN contains(lower(response), {_sql(p)}) THEN {_sql('Harmful Content: EGRESS-RE-001-' + p.replace(' ', '-').upper())}" for p in V.FRAMING)
+    found = (
+        f"CASE WHEN leak IS NOT NULL THEN 'System Prompt Leakage: Potential system prompt leakage: ' || leak WHEN pii IS NOT NULL THEN 'PII Detected: PII detected: ' || pii "
+        f"WHEN n > 64 AND strlen(response) > 64 AND n::FLOAT / strlen(response)::FLOAT > 0.9 THEN 'System Prompt Leakage: Obfuscated/Encoded data detected: Potential Base64/Encoded data' {framed} END"
+    )
+    hashed = f"sha256(CASE WHEN strlen(prompt) <= {V.MAX_BYTES} THEN {_lead(FOLD.format(t='prompt'))} ELSE prompt END)"
+    rows = f"SELECT *, {_pii_sql('response')} AS pii, length(regexp_replace(response, '[^A-Za-z0-9+/=]', '', 'g')) AS n FROM l"
+    return f"WITH {_LEAKS}, f AS (SELECT conv_id, turn, {found} AS egress_text, {hashed} AS input_hash FROM ({rows})) SELECT conv_id, turn, CASE WHEN egress_text IS NULL THEN 'Pass' ELSE 'EgressBlock' END AS egress_kind, egress_text, input_hash FROM f"
+
+
+@query(_egress_sql())
 def egress_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = conversation.pairs(table(spark, sf_dir, "conversations"))
     out = gate.egress_verdicts(p.withColumn("response", _echo(F.col("prompt"), F.col("response"))))
@@ -528,6 +541,56 @@ def block_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.block_rates(_judged(spark, sf_dir).withColumn("frame", F.col("doc_id") % len(FRAMES)), "frame")
 
 
+_KINDS = "count(*) FILTER (verdict_kind = '{}')"
+
+
+@query(
+    f"WITH {JUDGED}, d AS (SELECT doc_id % {len(FRAMES)} AS frame, count(*) AS total, count(*) FILTER (verdict_kind IN ('Pass', 'DiagnosticAgreement')) AS passed, {_KINDS.format('Pass')} AS agreement, {_KINDS.format('DiagnosticAgreement')} AS diagnostic_agreement, "
+    f"count(*) FILTER (verdict_kind NOT IN ('Pass', 'DiagnosticAgreement')) AS blocked, {_KINDS.format('DiagnosticDisagreement')} AS diagnostic_disagreement FROM v GROUP BY 1) "
+    "SELECT *, CASE WHEN passed > 0 THEN 100.0::DOUBLE * agreement / passed ELSE 0 END AS agreement_pct, CASE WHEN passed > 0 THEN 100.0::DOUBLE * diagnostic_agreement / passed ELSE 0 END AS diagnostic_agreement_pct, 100.0::DOUBLE * blocked / total AS blocked_pct FROM d"
+)
+def divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the channels agree on the prompts of each frame."""
+    return analytics.divergences(_judged(spark, sf_dir).withColumn("frame", F.col("doc_id") % len(FRAMES)), "frame")
+
+
+def review_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as lines of an audit log in which versions and forms are mixed, with the fields that each of them has."""
+    text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    e, kind = table(spark, sf_dir, "events"), F.col("event_id") % 4
+    ns = (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string")
+    dd = F.when(F.col("event_type").isin("error", "signup"), "DiagnosticDisagreement").otherwise("Block")
+    head = text('{"sequence":', F.col("event_id").cast("string"), ',"verdict_kind":"', dd, '","decided_at_ns":', ns, ',"input_hash":"', F.md5("props"), '","total_elapsed_us":', F.floor(F.col("value") * 100).cast("string"))
+    tails = [
+        text(',"schema_version":1,"block_reason":{"type":"ForbiddenPattern","pattern_id":"P-', (F.col("user_id") % 13).cast("string"), '"}}'),
+        F.lit(',"schema_version":2,"advisory":{"type":"Disagreement","score":3},"channel_a_result":{"decision":{"type":"Pass","intent":"QuestionFactual"},"elapsed_us":5},"channel_b_result":{"decision":{"type":"Block","reason":{"type":"ForbiddenPattern"},"pattern_id":"RE-004"},"elapsed_us":7}}'),
+        F.lit(',"advisory":"None","block_reason":"NoIntentMatch"}'),
+        F.lit(',"schema_version":2,"channel_a_result":{"decision":{"type":"Fault","code":"WatchdogFired"}},"channel_b_result":{"decision":{"type":"Pass","intent":"TaskTranslation"},"elapsed_us":7}}'),
+    ]
+    return e.select(F.concat(head, F.when(kind == 0, tails[0]).when(kind == 1, tails[1]).when(kind == 2, tails[2]).otherwise(tails[3])).alias("value"))
+
+
+def _findings_sql() -> str:
+    pick = lambda *values: "CASE event_id % 4 " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+    forbidden, old, new = "'P-' || (user_id % 13)", _sql(analytics.CAUSE_OTHER), "'[Schema v2] (Full channel data available) '"
+    columns = {
+        "sequence": "event_id", "timestamp": "strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN strftime(ts, '.%f') ELSE '' END || '+00:00'", "input_hash": "md5(props)",
+        "channel_a_decision": pick("'Block'", "'Pass'", "'Block'", "'Block'"), "channel_a_detail": pick(forbidden, "'QuestionFactual'", "'NoIntentMatch'", "'Fault: WatchdogFired'"), "channel_a_pattern": pick(forbidden, "NULL", "NULL", "NULL"),
+        "channel_b_decision": pick("'Block'", "'Block'", "'Block'", "'Pass'"), "channel_b_detail": pick(forbidden, _sql('{"type":"ForbiddenPattern"}'), "'NoIntentMatch'", "'TaskTranslation'"), "channel_b_pattern": pick(forbidden, "'RE-004'", "NULL", "NULL"),
+        "advisory_score": pick("NULL", "3", "NULL", "NULL"), "root_cause": pick(old, new, old, new), "recommendation": pick(*map(_sql, (analytics.ADVICE_OTHER, analytics.ADVICE_PASS_BLOCK, analytics.ADVICE_OTHER, analytics.ADVICE_BLOCK_PASS))),
+        "operator_action": "CASE WHEN event_id % 3 = 0 THEN 'adjust_rule' END", "operator_notes": "CASE WHEN event_id % 3 = 0 THEN 'seen' ELSE '' END",
+    }
+    return f"SELECT {', '.join(f'{v} AS {k}' for k, v in columns.items())} FROM events WHERE event_type IN ('error', 'signup')"
+
+
+@query(_findings_sql())
+def review_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of mixed versions to the findings that are exported; every third has an operator's action."""
+    log, _ = findings.records(review_lines(spark, sf_dir))
+    actions = table(spark, sf_dir, "events").filter("event_id % 3 = 0").select(F.col("event_id").alias("sequence"), F.lit("adjust_rule").alias("action"), F.lit("seen").alias("notes"), F.col("ts").alias("timestamp"))
+    return findings.findings(findings.details(log), actions)
+
+
 @query(f"SELECT {_has('lower(text)', V.INDIRECTION)} AS framed, count(*) AS n FROM documents GROUP BY 1")
 def indirection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(contains_any(F.lower("text"), V.INDIRECTION).alias("framed")).agg(F.count("*").alias("n"))

@@ -1,7 +1,8 @@
-"""Streams: prompts to verdicts, trends by event time, session state, and a rolling alert by record count."""
+"""Streams: prompts to verdicts, trends by event time, and a rolling alert by record count."""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -10,21 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.session import HASH, HIGH_SCORE, LONG, RAPID, WINDOW
 from ..plans.config import GateConfig
 from ..plans.gate import verdicts
-from ..sources.io import AUDIT
 
 
 def prompts(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
-def audit_tail(spark: SparkSession, path: str) -> DataFrame:
-    """Audit rows as their files arrive."""
-    return spark.readStream.schema(AUDIT).json(path)
-
-
 def judge(stream: DataFrame, path: str, checkpoint: str, text: str = "text", config: GateConfig | None = None, also: Callable[[DataFrame], None] | None = None) -> Any:
     """Verdicts of each batch written once under its number; `also` sees the batch, and its errors stop nothing."""
 
@@ -51,45 +45,18 @@ def rolling_alert(audit: DataFrame, size: int, key: str = "stream_id", threshold
     """Share of DA over the last `size` records of each stream, and whether it is above the threshold."""
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = list(state.get[0]) if state.exists else []
+        last = deque(state.get[0] if state.exists else [], maxlen=size)
+        agreed = sum(last)
         rows = pd.concat(list(parts)).sort_values("sequence")
         out = []
         for s, v in zip(rows["sequence"], rows["verdict_kind"], strict=True):
-            last = [*last[-(size - 1) :], int(v == "DiagnosticAgreement")] if size > 1 else [int(v == "DiagnosticAgreement")]
-            rate = 100.0 * sum(last) / len(last)
+            agreed -= last[0] if len(last) == size else 0
+            last.append(int(v == "DiagnosticAgreement"))
+            agreed += last[-1]
+            rate = 100.0 * agreed / len(last)
             out.append((k[0], s, rate, rate > threshold))
-        state.update((last,))
+        state.update((list(last),))
         yield pd.DataFrame(out, columns=["stream_id", "sequence", "da_pct", "alert"])
 
     picked = audit.select(F.col(key).cast("string").alias("stream_id"), "sequence", "verdict_kind")
     return picked.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, sequence bigint, da_pct double, alert boolean", "last array<int>", "append", GroupStateTimeout.NoTimeout)
-
-
-def sessions(messages: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
-    """Session analysis as messages arrive: session_id, seq, text. A session that is quiet for the timeout is forgotten."""
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        counts, frags, seen = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], 0)
-        out = []
-        for part in parts:
-            for s, text in part.sort_values("seq")[["seq", "text"]].itertuples(index=False):
-                text = text or ""
-                n, size, low = 0, len(text.encode()), text.lower()
-                frag = False
-                if seen:
-                    frag = (text.rstrip(" ")[-1:] not in (".", "!", "?") and size < 100) or any(p in low for p in ("and then", "after that", "next", "finally"))
-                    n = int(size > 2 * HASH) + int(size > 10 and abs(size - HASH) < 20) + int(frag)
-                seen += 1
-                counts, frags = [*counts, n][-WINDOW:], [*frags, int(frag)][-WINDOW:]
-                score = min(100, 10 * sum(counts))
-                flags = int(score >= HIGH_SCORE) + max(frags) + int(len(counts) >= 3 and sum(counts[-3:]) >= RAPID) + int(len(counts) >= LONG)
-                out.append((k[0], s, score, "Low" if not flags else "Medium" if flags <= 2 else "High"))
-        state.update((counts, frags, seen))
-        state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(out, columns=["session_id", "seq", "escalation_score", "risk_level"])
-
-    picked = messages.select(F.col("session_id").cast("string"), F.col("seq").cast("long"), "text")
-    return picked.groupBy("session_id").applyInPandasWithState(step, "session_id string, seq bigint, escalation_score int, risk_level string", "counts array<int>, frags array<int>, seen int", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -55,7 +55,7 @@ def test_sessions_equal_the_batch_and_end(spark, tmp_path, rocksdb):
 def test_reviews_equal_the_batch(spark, tmp_path, rocksdb):
     hour = review.HOUR_NS
     audit = [(k, "DiagnosticDisagreement" if k % 2 else "DiagnosticAgreement", k * hour, None) for k in range(1, 9)] + [(9, "Pass", hour, None)]
-    marks = [(1, "me", 5 * hour), (1, "you", 4 * hour), (1, "late", 60 * hour), (2, "me", hour), (3, "me", 3 * hour + 24 * hour), (5, "me", 5 * hour + 25 * hour), (99, "me", hour), (4, "b", 10 * hour), (4, "a", 10 * hour)]
+    marks = [(1, "me", 5 * hour), (1, "you", 4 * hour), (1, "late", 60 * hour), (2, "me", hour), (3, "me", 3 * hour + 24 * hour), (5, "me", 5 * hour + 28 * hour), (99, "me", hour), (4, "b", 10 * hour), (4, "a", 10 * hour)]
     names = {"audit": ["sequence", "verdict_kind", "decided_at_ns", "advisory_score"], "marks": ["sequence", "by", "at_ns"]}
     schemas = {"audit": "sequence long, verdict_kind string, decided_at_ns long, advisory_score int", "marks": "sequence long, by string, at_ns long"}
     # The last rows carry the watermark, 30 hours behind them, past the deadline of the odd items, not of all even ones.
