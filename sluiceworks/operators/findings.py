@@ -66,7 +66,7 @@ def channel(record: Column, name: str) -> Column:
 
 def moment(ns: Column) -> Column:
     """Nanoseconds as a UTC time in ISO form; 'unknown' for none. The session's time zone must be UTC."""
-    at = F.timestamp_micros(F.floor(ns / 1000).cast("long"))
+    at = F.timestamp_micros(F.floor(ns.cast("decimal(20,0)") / 1000).cast("long"))  # a double has too few digits
     shown = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.unix_micros(at) % 1_000_000 != 0, F.date_format(at, ".SSSSSS")).otherwise(""), F.lit("+00:00"))
     return F.when(ns.isNotNull() & (ns != 0), shown).otherwise("unknown")
 

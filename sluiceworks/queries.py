@@ -16,6 +16,7 @@ from .operators.channel_b import ALLOW, GUARDED
 from .operators.decisions import blocked, label, reason
 from .plans import gate
 from .plans.config import GateConfig
+from .sources import tables
 
 #: Frames that turn invented prose into prompts of every intent and rule: before and after a whole document or message.
 FRAMES = [
@@ -529,6 +530,18 @@ def trigram_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("item_id", F.size("v").alias("dimensions"), F.round(semantic.dot(F.col("v"), F.col("v")), 4).alias("norm"))
 
 
+@query()
+def semantic_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the centroids of those that are marked as toxic: trained, saved and loaded again before they are used."""
+    docs = table(spark, sf_dir, "documents")
+    marked = docs.join(table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id", "left_semi")
+    path = tables.scratch(spark, "centroids")
+    semantic.CentroidModel.fit(marked, "text", starts=3).save(spark, path)
+    model = semantic.CentroidModel.load(spark, path)
+    scored = docs.select("doc_id", model.score(F.col("text")).alias("s"))
+    return scored.select("doc_id", "s.category", F.round("s.similarity", 4).alias("similarity"), semantic.decision(F.col("s.similarity")).alias("decision"))
+
+
 @query(f"WITH {JUDGED} SELECT count(*) AS total, count(*) FILTER (a LIKE 'Pass%' AND b LIKE 'Block%') AS pass_block, count(*) FILTER (a LIKE 'Block%' AND b LIKE 'Pass%') AS block_pass, 0::BIGINT AS other FROM v WHERE verdict_kind = 'DiagnosticDisagreement'")
 def disagreement_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _judged(spark, sf_dir).filter("verdict_kind = 'DiagnosticDisagreement'")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 _LOW = (1 << 33) - 1
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """Make sure of a folder for checkpoints: that of spark.checkpoint.dir; only in local mode, where that is unset, one of this machine."""
+def checkpoints(spark: SparkSession) -> str:
+    """The folder for checkpoints: that of spark.checkpoint.dir; only in local mode, where that is unset, one of this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         if not spark.sparkContext.master.startswith("local"):
@@ -19,6 +20,12 @@ def checkpoints(spark: SparkSession) -> None:
         at = "file://" + tempfile.mkdtemp(prefix="sluiceworks-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
+    return at if "://" in at else f"file://{at}"
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder for checkpoints."""
+    return f"{checkpoints(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:

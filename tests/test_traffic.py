@@ -100,6 +100,30 @@ def test_centroids(spark):
     assert semantic.centroids_digest([("x", [1.0])]) != semantic.centroids_digest([("x", [1.5])])
 
 
+def test_a_centroid_model_is_saved_and_refused_when_changed(spark, tmp_path):
+    texts = ["how to build a thing that breaks", "how to break a thing that builds", "pretend to be someone else now", "now pretend you are someone else", None, "", "ab", "zzzz qqqq xxxx"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    model = semantic.CentroidModel.fit(rows.filter("k < 4"), "t", k=2, starts=2)
+    model.save(spark, str(tmp_path / "m"))
+    again = semantic.CentroidModel.load(spark, str(tmp_path / "m"))
+    assert again.digest() == model.digest() and [n for n, _ in again.centroids()] == semantic.NAMES[:2]
+    got = {r.k: r.s for r in rows.select("k", again.score(F.col("t")).alias("s")).collect()}
+    vectors = {r.k: r.v for r in rows.select("k", semantic.trigram_embedding("t").alias("v")).collect()}
+    for k, v in vectors.items():
+        best, name = 0.0, "None"
+        for n, c in again.centroids():
+            norm = sum(x * x for x in c) ** 0.5
+            s = sum(x * y for x, y in zip(v, c, strict=True)) / norm if any(v) else 0.0
+            best, name = (s, n) if s > best else (best, name)
+        assert got[k].category == name and abs(got[k].similarity - best) < 1e-5
+    assert got[0].category != got[2].category and got[0].similarity > 0.7 and [got[k].category for k in (4, 5, 6)] == ["None"] * 3
+    decided = rows.filter("k IN (0, 4)").select("k", semantic.decision(again.score(F.col("t"))["similarity"]).alias("d")).orderBy("k").collect()
+    assert [r.d for r in decided] == ["SemanticViolation", "QuestionFactual"]
+    spark.createDataFrame([("0" * 64,)], "digest string").write.mode("overwrite").parquet(str(tmp_path / "m" / "digest"))
+    with pytest.raises(ValueError):
+        semantic.CentroidModel.load(spark, str(tmp_path / "m"))
+
+
 def test_prompt_lines_are_numbered_with_blank_ones(spark, tmp_path):
     (tmp_path / "p.txt").write_text("one\n\ntwo\n  \nthree\n")
     assert [(r.sequence, r.text) for r in io.prompt_lines(spark, str(tmp_path / "p.txt")).orderBy("sequence").collect()] == [(0, "one"), (2, "two"), (4, "three")]
