@@ -27,11 +27,13 @@ from .html_pages import pages as labelled_pages
 
 #: Elements of formulas; they stay in the line. What an annotation holds is the formula's source, not its text.
 MATH = set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml".split())
+#: Parts of forms and things that are shown in the line; they have no text of the page.
+SHOWN = set("button select option optgroup object audio video canvas iframe svg textarea datalist map".split())
 #: Elements that stay inside the block around them.
-INLINE = MATH | set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img br label input".split())
+INLINE = MATH | SHOWN | set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img br label input".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without text of the page.
-SILENT = set("script style noscript template svg head title iframe object select option textarea button datalist canvas audio video map annotation annotation-xml".split())
+SILENT = SHOWN | set("script style noscript template head title annotation annotation-xml".split())
 #: Elements that may stand in the head; any other one closes it.
 IN_HEAD = set("html head base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSES_P = set("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -41,14 +43,17 @@ KINDS = {t: 0 for t in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockqu
 N_KINDS = 4
 SPACES = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
+#: Ends of sentences, and what the line at the foot of a page says.
+STOPS = re.compile(r"[.!?。！？](?=\s|$)")
+RIGHTS = re.compile(r"©|\(c\)|\bcopyright\b|\ball rights reserved\b", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "words", "chars", "linked", "mark")
+    __slots__ = ("tag", "parent", "depth", "words", "chars", "linked", "stops", "rights", "mark")
 
     def __init__(self, tag: str, parent: int, depth: int, words: list[str], mark: bool):
         self.tag, self.parent, self.depth, self.words, self.mark = tag, parent, depth, words, mark
-        self.chars = self.linked = 0
+        self.chars = self.linked = self.stops = self.rights = 0
 
 
 class Dom(HTMLParser):
@@ -83,7 +88,7 @@ class Dom(HTMLParser):
             self.close(("p",), {"table", "td", "th", "button", "object"})
         if tag in SIBLINGS:
             self.close(*SIBLINGS[tag], every=True)
-        if tag in INLINE:
+        if tag in INLINE or (self.silent and tag not in SILENT):
             if tag == "br":
                 self.run.append(" ")
             if tag not in VOID:
@@ -145,6 +150,8 @@ class Dom(HTMLParser):
         n = len(data) - data.count(" ")
         node = self.nodes[self.block]
         node.chars += n
+        node.stops += len(STOPS.findall(data))
+        node.rights |= bool(RIGHTS.search(data))
         if self.links:
             node.linked += n
 
@@ -170,11 +177,21 @@ def bucket(n: int) -> str:
 
 def node_features(dom: Dom) -> list[list[str]]:
     """Names of the features that each node has."""
-    chars, linked = [n.chars for n in dom.nodes], [n.linked for n in dom.nodes]
+    chars, linked, stops = [n.chars for n in dom.nodes], [n.linked for n in dom.nodes], [n.stops for n in dom.nodes]
     for i in range(len(dom.nodes) - 1, 0, -1):
         p = dom.nodes[i].parent
         chars[p] += chars[i]
         linked[p] += linked[i]
+        stops[p] += stops[i]
+    whole = max(chars[0], 1)
+    # First, last or between among the children of its parent that have text.
+    order, last = ["between"] * len(dom.nodes), {}
+    for i, n in enumerate(dom.nodes):
+        if chars[i] and n.parent >= 0:
+            order[i] = "between" if n.parent in last else "first"
+            last[n.parent] = i
+    for i in last.values():
+        order[i] = "last" if order[i] == "between" else "only"
     out = []
     for i, n in enumerate(dom.nodes):
         p = dom.nodes[n.parent] if n.parent >= 0 else n
@@ -182,6 +199,10 @@ def node_features(dom: Dom) -> list[list[str]]:
         row = ["all", f"tag {n.tag}", f"tag {n.tag} in {p.tag}", f"links {share}", f"chars {bucket(chars[i])}", f"kind {KINDS.get(n.tag, 3)} links {share}"]
         row += [f"name {w}" for w in n.words] or ["unnamed"]
         row += [f"parent name {w}" for w in p.words] if p is not n else []
+        # Elements without a name, or with one that was never seen, are told by how they read and by their share of the page.
+        row += [f"sentences {bucket(n.stops)} links {share}", f"own {bucket(n.chars)}", f"part {min(8 * chars[i] // whole, 7)} kind {KINDS.get(n.tag, 3)}"] + ["rights"] * n.rights + ["in line"] * (n.linked < n.chars < 24)
+        if p is not n:
+            row += [f"in sentences {bucket(stops[n.parent] - stops[i])}", f"place {order[i]} part {min(8 * chars[i] // whole, 7)}"] + ["under rights"] * p.rights
         out.append(row)
     return out
 
@@ -270,7 +291,9 @@ def fit(html: list[str], rounds: int = 120, rate: float = 0.15, ridge: float = 0
     return model
 
 
-def trained(n: int = 600, seed: int = 1) -> Model:
+@cache
+def trained(n: int = 700, seed: int = 1) -> Model:
+    """The model of so many labelled pages, fitted once a session."""
     return fit(labelled_pages(n, seed))
 
 

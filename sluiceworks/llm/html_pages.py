@@ -36,8 +36,20 @@ def attribute(r: random.Random, names: list[str]) -> str:
     return r.choice([f' class="{name}"', f' id="{name}"', f' class="{word(r)} {name}"'])
 
 
+def plain_boiler(r: random.Random) -> str:
+    """A part of a page that is not the article, in elements that do not say so: rows of links, a line of rights, a slogan."""
+    tag = r.choice(["div", "div", "div", "td", "p", "section", "center"])
+    tag = "div" if tag == "td" else tag
+    name = r.choice(["", "", attribute(r, ["top", "bottom", "left", "right", "row", "col", "foot", "head", "bar", "wrap", "box"])])
+    links = r.choice([" | ", " ", " &middot; ", "</div><div>"]).join(link(r) for _ in range(r.randint(2, 9)))
+    rights = r.choice(["&copy; ", "Copyright ", "Copyright &copy; ", "(c) "]) + f"{r.randint(1999, 2024)} {word(r)}" + r.choice(["", " " + sentence(r, 1, 5), ". All rights reserved."])
+    return f"<{tag}{name}>{r.choice([links, links, rights, rights, word(r), word(r) + ' ' + word(r), links + rights])}</{tag}>"
+
+
 def boiler(r: random.Random) -> str:
     """A part of a page that is not the article."""
+    if r.random() < 0.2:
+        return plain_boiler(r)
     t = lambda: r.choice([text(r), sentence(r), f"<p>{text(r)}</p>", f"<p>{sentence(r)}</p><p>{link(r)}</p>"])
     box = lambda names, body, tags=("div", "section", "aside", "div"): (lambda k: f"<{k}{attribute(r, names)}>{body}</{k}>")(r.choice(tags))
     kind = r.randrange(11)
@@ -85,8 +97,30 @@ def block(r: random.Random) -> str:
     return f"<p y>{inside}</p>"
 
 
+def bare_page(r: random.Random) -> str:
+    """A page without landmarks: the article in divisions or cells that have no names, or names that say nothing."""
+    nothing = lambda: r.choice(["", "", "", attribute(r, ["wrap", "wrapper", "container", "inner", "row", "col", "box", "text", "body", "page", "center", "left", "w"])])
+    long = lambda: " ".join(sentence(r) for _ in range(r.randint(2, 9)))
+    one = lambda: r.choice([f"<div y{nothing()}>{long()}</div>", f"<div y>{long()}<br><br>{long()}</div>", f"<p y>{long()}</p>", block(r), f"<h2 y>{sentence(r, 1, 6)}</h2>"])
+    parts = "".join(one() for _ in range(r.randint(1, 8)))
+    title = r.choice(["", f"<h1 y>{sentence(r, 1, 8)}</h1>", f"<div y><b>{sentence(r, 2, 8)}</b></div>"])
+    before, after = ("".join(r.choice([plain_boiler, plain_boiler, boiler])(r) for _ in range(r.randint(0, 3))) for _ in range(2))
+    kind = r.randrange(4)
+    if kind == 0:
+        body = f"{before}<div y{nothing()}>{title}{parts}</div>{after}"
+    elif kind == 1:
+        body = f"<div y{nothing()}>{before}<div y{nothing()}>{title}{parts}</div>{after}</div>"
+    elif kind == 2:
+        body = f"<table y><tr y><td>{r.choice([menu(r), plain_boiler(r)])}</td><td y>{title}{parts}</td></tr></table>{after}"
+    else:
+        body = f"{before}{title}{parts}{after}"
+    return f"<html y><head><title>{word(r)}</title></head><body y>{body}</body></html>"
+
+
 def page(r: random.Random) -> str:
     """A whole page; elements with the attribute y hold article text."""
+    if r.random() < 0.3:
+        return bare_page(r)
     blocks = [block(r) for _ in range(r.randint(1, 12))]
     if r.random() < 0.35:
         blocks.insert(r.randint(0, len(blocks)), boiler(r))

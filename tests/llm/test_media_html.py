@@ -1,12 +1,13 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import pytest
 
 from sluiceworks.llm import html_extraction, media
 from sluiceworks.llm.html_pages import pages, without_optional_ends
 
-from . import cases
+from . import cases, layouts
 
 
 def test_media_columns_are_lossless(spark):
@@ -70,7 +71,7 @@ def test_empty_media(spark):
     assert media.media_columns(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-MODEL = html_extraction.trained(300)
+MODEL = html_extraction.trained()
 
 
 def main_text(html):
@@ -85,6 +86,21 @@ def test_held_out_pages():
     assert sum(a == b for a, b in zip(got, expected, strict=True)) / len(made) > 0.9
 
 
+def test_pages_of_other_makes():
+    """Precision and recall by block on pages written by hand."""
+    hit = found = wanted = 0
+    for html, blocks in layouts.PAGES:
+        got, want = Counter(main_text(html).split("\n")), Counter(blocks)
+        hit, found, wanted = hit + (got & want).total(), found + got.total(), wanted + want.total()
+        assert got & want, html
+    assert hit / found >= 0.95 and hit / wanted >= 0.95
+
+
+def test_controls_stand_in_the_line():
+    html = "<article><p>See <button>open</button> the map and <video><source src=x>none</video>the <object><p>no</p></object> film.</p><p>Then <textarea>x</textarea>go.</p></article>"
+    assert html_extraction.parse(html).blocks == [(2, "See the map and the film."), (3, "Then go.")]
+
+
 def test_article_of_a_page():
     html = '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad">Buy this.</div><article><h1>Title &amp;  more</h1><p><b>First\n text.<br><p>Second &eacute; text here.</article><footer>&copy; site</footer></body></html>'
     assert main_text(html) == "Title & more\nFirst text.\nSecond é text here."
