@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import numbered
+
 
 def _da() -> Column:
     return F.count_if(F.col("verdict_kind") == "DiagnosticAgreement")
@@ -68,26 +70,26 @@ def trend(audit: DataFrame, interval: str = "hourly") -> DataFrame:
 
 
 def rolling(audit: DataFrame, size: int, block: int = 100_000) -> DataFrame:
-    """Shares of DA and DD over the last `size` rows at each row. Sequences are consecutive numbers.
+    """Shares of DA and DD over the last `size` rows at each row, in the order of their sequences, which may have gaps. `place` counts rows from 0.
 
-    Blocks of the sequence are windows of their own; each also gets the size - 1 rows before it, so no task has all rows.
+    Blocks of the rows are windows of their own; each also gets the size - 1 rows before it, so no task has all rows.
     """
     block = max(block, size)
-    home = F.floor(F.col("sequence") / block)
-    to = F.when(F.col("sequence") % block > block - size, F.array(home, home + 1)).otherwise(F.array(home))
-    rows = audit.select("sequence", "verdict_kind", F.explode(to).alias("block"))
-    last = Window.partitionBy("block").orderBy("sequence").rowsBetween(-(size - 1), 0)
+    home = F.floor(F.col("place") / block)
+    to = F.when(F.col("place") % block > block - size, F.array(home, home + 1)).otherwise(F.array(home))
+    rows = numbered(audit.select("sequence", "verdict_kind"), "sequence", 0, "place").select("sequence", "place", "verdict_kind", F.explode(to).alias("block"))
+    last = Window.partitionBy("block").orderBy("place").rowsBetween(-(size - 1), 0)
     share = lambda kind: 100.0 * F.sum((F.col("verdict_kind") == kind).cast("int")).over(last) / F.count("*").over(last)
     rows = rows.withColumns({"da_pct": share("DiagnosticAgreement"), "dd_pct": share("DiagnosticDisagreement"), "seen": F.count("*").over(last)})
     return rows.filter(F.col("block") == home).drop("block").withColumn("alert", F.col("da_pct") > 5.0)
 
 
 def sliding(audit: DataFrame, size: int) -> DataFrame:
-    """Full windows that alert, every half window, and the last one; positions count from the least sequence."""
-    ends = audit.agg(F.min("sequence").alias("lo"), F.max("sequence").alias("hi"))
-    rows = rolling(audit, size).filter(F.col("seen") == size).crossJoin(F.broadcast(ends))  # ends: one row
-    i = F.col("sequence") - F.col("lo")
-    keep = (F.col("da_pct") > 5.0) | (F.col("dd_pct") > 0.1) | (i % max(size // 2, 1) == 0) | (F.col("sequence") == F.col("hi"))
+    """Full windows that alert, every half window, and the last one, by the places of their first and last rows."""
+    last = audit.agg(F.count("*").alias("n"))
+    rows = rolling(audit, size).filter(F.col("seen") == size).crossJoin(F.broadcast(last))  # one row
+    i = F.col("place")
+    keep = (F.col("da_pct") > 5.0) | (F.col("dd_pct") > 0.1) | (i % max(size // 2, 1) == 0) | (i == F.col("n") - 1)
     return rows.filter(keep).select((i - size + 1).alias("from_row"), i.alias("to_row"), "da_pct", "dd_pct", band(F.col("da_pct")).alias("band"))
 
 

@@ -35,9 +35,11 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def placed(rows: DataFrame, name: str, first: int = 0) -> DataFrame:
-    """rows with consecutive numbers in the order in which their partitions lie: partitions are counted, and only their counts meet in a running sum."""
+    """rows with consecutive numbers in the order in which their partitions lie: partitions are counted, and only their counts meet in a running sum.
+
+    The rows must come in the same partitions each time they are read, as a scan's or a checkpoint's do."""
     part = F.shiftright("_id", 33)
-    rows = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", part)
+    rows = (rows if "_id" in rows.columns else rows.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", part)
     counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     # One row for each partition of the input.
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
@@ -47,4 +49,5 @@ def placed(rows: DataFrame, name: str, first: int = 0) -> DataFrame:
 def numbered(rows: DataFrame, order: str | list[str], first: int = 1, name: str = "sequence") -> DataFrame:
     """rows with consecutive numbers in an order, counted by range partitions: no task sees all rows."""
     order = [order] if isinstance(order, str) else order
-    return placed(rows.repartitionByRange(*order).sortWithinPartitions(*order), name, first)
+    # Kept with their ids: a shuffle that is read twice may be cut into other partitions the second time.
+    return placed(kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())), name, first)
