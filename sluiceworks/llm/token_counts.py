@@ -12,27 +12,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import RoundBpe, encoded
+from .shared import written
 
 KEYS = ["source", "lang", "tokenizer"]
 GROUP = "source string, lang string, tokenizer string"
 DELTA = f"{GROUP}, d_docs long, d_tokens long"
-#: Batches between two bases.
-FOLD = 100
+#: Batches between two bases, and one in how many documents `batches_of` revises or withdraws.
+FOLD, SHARE = 100, 10
 
 
 def token_counts(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The number of ids of each document (null text: 0), with its source and lang, as inserts."""
+    """The number of ids of each document (null text: 0) and of its bytes, with its source and lang."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, at in encoded(batches, "text", path, RoundBpe):
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "source", "lang")] + [pa.array(np.diff(at), pa.int64())], ["doc_id", "source", "lang", "n_tokens"])
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array(np.diff(at), pa.int64()), size], ["doc_id", "source", "lang", "n_tokens", "n_bytes"])
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col(text).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long").select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), "n_tokens")
+    return picked.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long, n_bytes long").select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), "n_tokens", "n_bytes")
 
 
 def signed(changes: DataFrame) -> DataFrame:
@@ -48,7 +51,8 @@ class TokenRollup:
 
     A batch is a partition of deltas; `commits` names the batches that count. Every FOLD commits the totals so far are
     written as a base of their own, and with the marker of that base a new generation begins: totals are the newest base and
-    the deltas of its generation, at most FOLD batches, however many there were before. Deltas of older generations go.
+    the deltas of its generation, at most FOLD batches, however many there were before. The generation before is kept for totals that are not read
+    yet; what is older goes.
     """
 
     def __init__(self, spark: SparkSession, path: str, fold: int = FOLD):
@@ -86,7 +90,7 @@ class TokenRollup:
         now = self.generation()
         self.totals().write.mode("overwrite").parquet(f"{self.bases}/{now + 1}")
         self.spark.range(1).select(F.lit(now + 1).cast("long").alias("generation")).coalesce(1).write.mode("append").parquet(self.folds)
-        for old in (f"{self.deltas}/generation={now}", f"{self.bases}/{now}"):
+        for old in (f"{self.deltas}/generation={now - 1}", f"{self.bases}/{now - 1}"):
             fs, at = self._at(old)
             fs.delete(at, True)
 
@@ -100,10 +104,31 @@ class TokenRollup:
         return rows.groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens")).filter("n_docs <> 0 OR n_tokens <> 0")
 
 
+def batches_of(counts: DataFrame) -> list[tuple[str, DataFrame]]:
+    """A table's counts as it comes to be known, as (batch id, changes): one document in SHARE is first taken in with an estimate, a token for four bytes, and revised when it is
+    counted; another one in SHARE is taken in, withdrawn, and taken in again. Documents without an id are only taken in."""
+    part = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(SHARE)), F.lit(SHARE))
+    rows = counts.withColumn("_part", part)
+    none = F.lit(None).cast("long")
+
+    def change(rows: DataFrame, op: str, n: Column, old: Column = none) -> DataFrame:
+        return rows.select(*KEYS, F.lit(op).alias("op"), n.alias("n_tokens"), old.alias("old_tokens"))
+
+    estimated, withdrawn = rows.filter("_part = 0"), rows.filter("_part = 1")
+    exact, guess = F.col("n_tokens"), F.floor(F.col("n_bytes") / 4).cast("long")
+    return [
+        ("load", change(rows, "insert", F.when(F.col("_part") == 0, guess).otherwise(exact))),
+        ("withdrawn", change(withdrawn, "delete", exact)),
+        ("counted", change(estimated, "revise", exact, guess)),
+        ("returned", change(withdrawn, "insert", exact)),
+    ]
+
+
 def rollup_of(docs: DataFrame, path: str, vocabulary: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Totals of a table loaded as one batch of inserts; loading it again under the same id is a no-op."""
+    """Totals of a table that is taken in by several batches of inserts, deletes and revisions (`batches_of`), each of them sent twice."""
     rollup = TokenRollup(docs.sparkSession, path)
-    changes = token_counts(docs, vocabulary, tokenizer, doc_id, text).withColumns({"op": F.lit("insert"), "old_tokens": F.lit(None).cast("long")})
-    rollup.apply("load", changes)
-    rollup.apply("load", changes)
+    counts = written(token_counts(docs, vocabulary, tokenizer, doc_id, text), "counts")
+    for batch_id, changes in batches_of(counts):
+        rollup.apply(batch_id, changes)
+        rollup.apply(batch_id, changes)
     return rollup.totals()

@@ -177,6 +177,33 @@ def test_rollup_of_a_table_counts_every_row(spark):
     assert [tuple(r) for r in out] == [("s", "en", "v1", len(rows), total)]
 
 
+def test_a_table_comes_in_by_batches_that_change_it(spark):
+    """The batches do change counts on their way, and end at a plain recount."""
+    rows = [(k, "w%d " % k * (k % 40)) for k in range(200)] + [(None, "x y"), (3, None)]
+    docs = cases.wide(spark, rows)
+    counts = token_counts.token_counts(docs, PATH, "v1").cache()
+    batches = token_counts.batches_of(counts)
+    rollup, seen = token_counts.TokenRollup(spark, new_path(spark, "rollup"), fold=2), []
+    for batch_id, changes in batches:
+        assert changes.count() > 5 and rollup.apply(batch_id, changes) and not rollup.apply(batch_id, changes)
+        seen.append(tuple(rollup.totals().first()))
+    n, total = counts.count(), counts.agg({"n_tokens": "sum"}).first()[0]
+    assert [b for b, _ in batches] == ["load", "withdrawn", "counted", "returned"] and len(set(seen)) == 4
+    assert seen[-1][-2:] == (n, total) == (len(rows), sum(len(Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids) for _, t in rows))
+    assert seen[1][-2] < n
+
+
+def test_totals_that_are_not_read_yet_outlive_a_fold(spark):
+    rollup = token_counts.TokenRollup(spark, new_path(spark, "rollup"), fold=2)
+    kind = "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long"
+    one = spark.createDataFrame([("insert", "a", "en", "t", 10, None)], kind)
+    rollup.apply("1", one)
+    before = rollup.totals()
+    rollup.apply("2", one)
+    assert rollup.generation() == 1 and [tuple(r)[-2:] for r in before.collect()] == [(1, 10)]
+    assert [tuple(r)[-2:] for r in rollup.totals().collect()] == [(2, 20)]
+
+
 def test_rollup_folds_and_still_knows_old_batches(spark):
     rollup = token_counts.TokenRollup(spark, new_path(spark, "rollup"), fold=2)
     kind = "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long"
