@@ -359,7 +359,27 @@ def _framed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumn("text", F.concat(before, F.col("text"), after))
 
 
-@query()
+#: Messages with the frames that `_framed_conversations` gives them.
+_TALK = f"talk AS (SELECT conv_id, turn, {_list([a for a, _ in FRAMES])}[(conv_id + turn * 5) % {len(FRAMES)} + 1] || text || {_list([b for _, b in FRAMES])}[(conv_id + turn * 5) % {len(FRAMES)} + 1] AS text FROM conversations)"
+
+
+def _judged_texts(prompts: str) -> str:
+    """JUDGED over a CTE `p` (doc_id, raw) of other texts."""
+    assert JUDGED.startswith(PROMPTS)
+    return prompts + JUDGED[len(PROMPTS) :]
+
+
+def _conversation_sql() -> str:
+    context = _CONTEXT.replace("FROM conversations", "FROM talk")
+    texts = "p AS (SELECT (conv_id * 1000 + position) * 2 AS doc_id, text AS raw FROM y UNION ALL SELECT (conv_id * 1000 + position) * 2 + 1, context FROM y WHERE context IS NOT NULL)"
+    return (
+        f"WITH {_TALK}, {context}, {_judged_texts(texts)}, m AS (SELECT doc_id // 2000 AS conv_id, doc_id // 2 % 1000 AS position, bool_and(verdict_kind IN ('Pass', 'DiagnosticAgreement')) AS is_pass FROM v GROUP BY 1, 2), "
+        "b AS (SELECT conv_id, min(position) FILTER (NOT is_pass) AS first FROM m GROUP BY conv_id) "
+        "SELECT m.conv_id, b.first IS NULL AS is_pass, b.first::INTEGER AS first_block_index, count(*) FILTER (b.first IS NULL OR m.position <= b.first) AS n_verdicts FROM m JOIN b USING (conv_id) GROUP BY m.conv_id, b.first"
+    )
+
+
+@query(_conversation_sql())
 def conversation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.conversation_verdicts(conversation.message_verdicts(_framed_conversations(spark, sf_dir)))
 
@@ -387,6 +407,20 @@ def session_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sessions(spark, sf_dir).select("session_id", "seq", "escalation_score", "message_count", "message_sequence", F.size("flags").alias("n_flags"), "risk_level")
 
 
+def _session_sql() -> str:
+    heard = f"n0 AS (SELECT conv_id, turn, text, {FOLD.format(t='text')} AS t0 FROM talk), heard AS (SELECT conv_id, turn, CASE WHEN greatest(strlen(text), strlen(t1)) > {V.MAX_BYTES} THEN text ELSE t1 END AS text FROM (SELECT *, {_lead('t0')} AS t1 FROM n0))"
+    texts = "p AS (SELECT conv_id * 1000 + turn AS doc_id, text AS raw FROM heard)"
+    risk = "CASE WHEN n_flags = 0 THEN 'Low' WHEN n_flags <= 2 THEN 'Medium' ELSE 'High' END"
+    return f"WITH {_TALK}, {heard}, {_judged_texts(texts)}, {_SESSION.replace('FROM conversations', 'FROM heard')} SELECT session_id, seq, verdict_kind, escalation_score, n_flags::INT AS n_flags, {risk} AS risk_level, {risk} = 'High' AS alert FROM k JOIN v ON v.doc_id = session_id * 1000 + seq"
+
+
+@query(_session_sql())
+def session_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message with its verdict and what its session looks like up to it; messages come a minute apart."""
+    messages = _framed_conversations(spark, sf_dir).select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "text", F.timestamp_seconds(F.col("turn") * 60).alias("at"))
+    return session.evaluated(messages, "at").select("session_id", "seq", "verdict_kind", "escalation_score", F.size("flags").alias("n_flags"), "risk_level", "alert")
+
+
 @query(f"WITH {_SESSION} SELECT count(*) AS total_sessions, count(*) FILTER (e > 0) AS active_sessions, count(*) FILTER (e >= 70) AS high_risk_sessions FROM (SELECT session_id, arg_max(escalation_score, seq) AS e FROM k GROUP BY session_id)")
 def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.stats(_sessions(spark, sf_dir))
