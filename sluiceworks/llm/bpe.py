@@ -3,7 +3,8 @@
 Encoding cuts a batch into pieces with array operations, keeps each distinct piece once (their bytes are compared), and merges all
 new pieces of the batch together: an index maps each mergeable pair to every position that holds it, the
 active ranks are applied in ascending order, and each application updates the lists of the pairs it touches.
-Null texts count as empty and give no ids; equal texts give equal ids.
+Null texts count as empty and give no ids; equal texts give equal ids. A very long text is encoded whole, as a batch by itself. Null ids are kept,
+an empty table gives no rows, and columns besides the id and the text are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ Scores and tables are fitted to labelled pages by the gradient of the likelihood
 its nodes with a marginal of at least a half, block by block.
 
 Null and empty pages, and pages without article, give an empty text; damaged markup is closed where HTML
-would close it. Equal pages give equal texts.
+would close it. Equal pages give equal texts. Very long and very deep pages are read whole, in time in proportion to their nodes. Null ids and addresses are
+kept, an empty table gives no rows, and other columns are ignored.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ So every link between components is found, no task holds more than two blocks, a
 written out as pairs. A shingle that very many documents show is spread over tasks by range.
 
 Null and blank texts have no shingles and stand alone. Rows without an id get no component. Repeated rows of
-one id count as one document. An empty table gives no rows; other columns are ignored.
+one id count as one document. Very long texts are read whole. An empty table gives no rows; other columns are ignored.
+Shingles are told by 64-bit hashes, and sets are taken as equal if their sizes and two 64-bit sums over their shingles are.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 Writers put the members of a partition into one archive under the shared folder, with an index of offsets
 beside it; the manifest names the archives of the attempts that Spark accepted. The data source plans
 byte-range partitions over them, streams record batches, and reads each member again by its offset if it
-fails. Null texts count as empty; equal texts are stored as equal bytes; an empty table gives no rows.
+fails. Null texts count as empty; equal texts are stored as equal bytes; an empty table gives no rows. Null ids are kept, repeated rows are stored
+as often as they occur, a very long text is one image, and columns besides the id and the text are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ and its last remainder is filled in by a bounded knapsack, still on the histogra
 its rank among the pieces of its length, which is counted in salted groups.
 
 Null texts count as empty: one piece with the end token only. Repeated rows are packed as often as they occur.
-An empty table gives no rows.
+A very long text is encoded whole and cut into pieces. An empty table gives no rows; columns besides the id and the text are ignored.
 """
 
 from __future__ import annotations

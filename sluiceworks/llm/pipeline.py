@@ -1,4 +1,8 @@
-"""The stages of the corpus pipeline. Each takes (spark, docs, sf_dir) and keeps the columns of documents."""
+"""The stages of the corpus pipeline. Each takes (spark, docs, sf_dir) and keeps the columns of documents.
+
+Texts that are null, empty or very long, ties, repeated rows, further columns and empty tables are as each stage's operator has them; a document without an id
+goes at the first stage, since no later one can name it.
+"""
 
 from __future__ import annotations
 

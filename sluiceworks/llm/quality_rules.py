@@ -1,7 +1,7 @@
 """Quality rules: a table of thresholds compiled into one projection of built-in column functions.
 
 A null text has no words and fails the base rules, as an empty one does. Ties do not arise; repeated rows
-get equal results. Columns of the input other than the id and the text are ignored. Aggregate or write the result before filtering on
+get equal results, very long texts are judged whole, and an empty table gives no rows. Windows are told by 64-bit hashes. Columns of the input other than the id and the text are ignored. Aggregate or write the result before filtering on
 it: Spark pushes a filter through the projection and would evaluate its array steps again inside each other.
 """
 

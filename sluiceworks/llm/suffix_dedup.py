@@ -11,7 +11,7 @@ anchors. An anchor's context is the text that the windows it stands for cover.
    by bucket: equal windows stand together there, and all but the smallest document's are repeats.
 
 Null and short texts lose nothing, nor do rows without an id. Rows that share an id never remove each other;
-they must be equal. An empty table gives no rows. Columns besides the id and the text are ignored.
+they must be equal, else which of the texts is cut where is not defined. Very long texts are read whole, in segments. An empty table gives no rows. Columns besides the id and the text are ignored.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 A change is a row (op, source, lang, tokenizer, n_tokens, old_tokens) with op 'insert', 'delete' or 'revise'.
 A batch is aggregated before it is written, and counts once its commit marker is there; applying a batch id
 again changes nothing. Null source, lang or tokenizer values form groups of their own; null counts are 0, and an
-unknown op counts nothing. Repeated rows count as often as they occur, very long texts whole; a table without rows gives no group.
+unknown op counts nothing. Repeated rows count as often as they occur, very long texts whole; a table without rows gives no group. Columns of a table besides
+the id, the text, source and lang are ignored.
 """
 
 from __future__ import annotations

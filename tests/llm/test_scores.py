@@ -117,3 +117,7 @@ def test_classifier_votes_equal_brute_force(spark):
         assert r.score == pytest.approx(expected, abs=2e-2)
         assert r.predicted == int(r.score >= 0.3)
     assert quality_classifier.quality_classifier(cases.wide(spark, rows).limit(0), model).collect() == []
+
+
+def test_rules_of_no_rows(spark):
+    assert quality_rules.quality_rules(cases.wide(spark, [(1, "x")]).limit(0)).collect() == []

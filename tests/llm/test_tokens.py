@@ -253,3 +253,7 @@ def test_tiny_histograms_take_no_time():
     assert sum(n for n, _ in packing.plan({2048: 10**6}, 2048)[0]) == 10**6
     assert packing.plan({}, 2048)[0] == []
     assert time.perf_counter() - began < 1
+
+
+def test_rollup_of_no_rows(spark):
+    assert token_counts.rollup_of(cases.wide(spark, [(1, "x")]).limit(0), new_path(spark, "rollup"), PATH, "v1").collect() == []
