@@ -576,11 +576,11 @@ def semantic_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "s.category", F.round("s.similarity", 4).alias("similarity"), semantic.decision(F.col("s.similarity")).alias("decision"))
 
 
-@query(f"WITH {JUDGED} SELECT count(*) AS total, count(*) FILTER (a LIKE 'Pass%' AND b LIKE 'Block%') AS pass_block, count(*) FILTER (a LIKE 'Block%' AND b LIKE 'Pass%') AS block_pass, 0::BIGINT AS other FROM v WHERE verdict_kind = 'DiagnosticDisagreement'")
+@query(f"WITH {JUDGED} SELECT count(*) AS total, count(*) FILTER (a LIKE 'Pass%' AND b LIKE 'Block%') AS pass_block, count(*) FILTER (a LIKE 'Block%' AND b LIKE 'Pass%') AS block_pass, 0::BIGINT AS other, 0::BIGINT AS with_advisory, count(text) AS with_text FROM v WHERE verdict_kind = 'DiagnosticDisagreement'")
 def disagreement_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _judged(spark, sf_dir).filter("verdict_kind = 'DiagnosticDisagreement'")
     details = rows.select(F.col("channel_a.type").alias("a"), F.col("channel_b.type").alias("b"), F.col("advisory.type").alias("advisory_type"), "text")
-    return analytics.disagreement_summary(details).select("total", "pass_block", "block_pass", "other")
+    return analytics.disagreement_summary(details)
 
 
 @query(f"WITH {JUDGED} SELECT doc_id % {len(FRAMES)} AS frame, count(*) AS n, count(*) FILTER (verdict_kind NOT IN ('Pass', 'DiagnosticAgreement')) AS blocked, count(*) FILTER (verdict_kind IN ('Pass', 'DiagnosticAgreement')) AS passed, 100.0::DOUBLE * count(*) FILTER (verdict_kind NOT IN ('Pass', 'DiagnosticAgreement')) / count(*) AS block_rate FROM v GROUP BY 1")
