@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,8 @@ from ..sources.tables import kept, numbered
 
 #: Texts that are compared with each other in the first round of leaders; every round takes twice as many.
 BLOCK = 1024
+#: Rows of q-grams sent on at once.
+ROWS = 1 << 16
 
 
 def edits(n: Column | int, threshold: float) -> Column | int:
@@ -44,14 +47,20 @@ def grams(rows: DataFrame, q: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column("id"), batch.column("text").to_pylist(), strict=True):
+            texts, start = batch.column("text").to_pylist(), 0
+            sizes, out = [], []
+            for k, text in enumerate(texts):
                 seen: Counter[str] = Counter()
-                out = []
                 for i in range(len(text) - q + 1):
                     g = text[i : i + q]
                     seen[g] += 1
                     out.append(xxhash.xxh64_intdigest(f"{seen[g]} {g}") - (1 << 63))
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(out), batch.schema.field("id").type), pa.array([len(text)] * len(out), pa.int32()), pa.array(out, pa.int64())], ["id", "n", "gram"])
+                sizes.append(max(len(text) - q + 1, 0))
+                if len(out) >= ROWS or k == len(texts) - 1:
+                    rows_ = np.repeat(np.arange(start, k + 1), sizes)
+                    n = np.repeat(np.array([len(t) for t in texts[start : k + 1]], dtype=np.int32), sizes)
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows_)), pa.array(n), pa.array(out, pa.int64())], ["id", "n", "gram"])
+                    sizes, out, start = [], [], k + 1
 
     return rows.select("id", "text").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n int, gram long")
 
@@ -60,7 +69,7 @@ def prefixes(rows: DataFrame, threshold: float) -> DataFrame:
     """(id, n, gram) of the rare q-grams by which a text meets those it may be similar to; texts that allow no edit have none."""
     q = gram_size(threshold)
     rows = rows.filter(edits(F.ceil(F.length("text") / threshold), threshold) > 0)
-    every = grams(rows, q)
+    every = kept(grams(rows, q))
     common = every.groupBy("gram").agg(F.count("*").alias("df"))
     ordered = every.join(common, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
     return ordered.select("id", "n", F.explode(F.slice("g", F.lit(1), q * edits(F.col("n"), threshold) + 1)).alias("g")).select("id", "n", "g.gram")
