@@ -18,8 +18,8 @@ THRESHOLD = 0.7
 
 #: The categories that clusters are named after, in order.
 NAMES = ["MalwareCreation", "SystemIntrusion", "SocialEngineering", "HarmfulContent", "JailbreakAttempt", "UnauthorizedAccess", "IdentityTheft", "PhysicalHarm"]
-#: Texts embedded and compared at once.
-BLOCK = 1024
+#: Texts embedded and compared at once, and the most marked texts that a query trains on.
+BLOCK, FIT_ROWS = 1024, 20_000
 
 
 def embedded(texts: list[str | None]) -> np.ndarray:

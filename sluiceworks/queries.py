@@ -566,9 +566,12 @@ def trigram_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def semantic_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document against the centroids of those that are marked as toxic: trained, saved and loaded again before they are used."""
+    """Every document against the centroids of those that are marked as toxic: trained, saved and loaded again before they are used.
+
+    At most FIT_ROWS marked documents are trained on, by a hash of their ids; so their ids may be broadcast, and no text is shuffled."""
     docs = table(spark, sf_dir, "documents")
-    marked = docs.join(table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id", "left_semi")
+    ids = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(semantic.FIT_ROWS)
+    marked = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     path = tables.scratch(spark, "centroids")
     semantic.CentroidModel.fit(marked, "text", starts=3).save(spark, path)
     model = semantic.CentroidModel.load(spark, path)
