@@ -24,6 +24,11 @@ BLOCK = 1024
 ROWS = 1 << 16
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """rows as a side of a join that is never broadcast: ids and q-grams are small on disk and large in the driver, and grow with the rows."""
+    return rows.hint("merge")
+
+
 def edits(n: Column | int, threshold: float) -> Column | int:
     """The most edits that leave a similarity of the threshold where the longer text has n letters."""
     exact = n * (1 - threshold) + 1e-9
@@ -71,12 +76,12 @@ def prefixes(rows: DataFrame, threshold: float) -> DataFrame:
     rows = rows.filter(edits(F.ceil(F.length("text") / threshold), threshold) > 0)
     every = kept(grams(rows, q))
     common = every.groupBy("gram").agg(F.count("*").alias("df"))
-    ordered = every.join(common, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    ordered = every.join(shuffled(common), "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
     return ordered.select("id", "n", F.explode(F.slice("g", F.lit(1), q * edits(F.col("n"), threshold) + 1)).alias("g")).select("id", "n", "g.gram")
 
 
 def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    both = pairs.join(left.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(right.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    both = pairs.join(shuffled(left.select(F.col("id").alias("a"), F.col("text").alias("x"))), "a").join(shuffled(right.select(F.col("id").alias("b"), F.col("text").alias("y"))), "b")
     most = F.greatest(F.length("x"), F.length("y"))
     both = both.withColumn("_k", edits(most, threshold)).withColumn("_d", F.expr("levenshtein(x, y, _k)")).filter("_d >= 0")
     return both.withColumn("similarity", 1.0 - F.col("_d") / most).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
@@ -86,7 +91,7 @@ def meetings(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of prefixes that share a q-gram and fit in length, each once."""
     x, y = left.select(F.col("id").alias("a"), F.col("n").alias("na"), "gram"), right.select(F.col("id").alias("b"), F.col("n").alias("nb"), "gram")
     fit = F.abs(F.col("na") - F.col("nb")) <= edits(F.greatest("na", "nb"), threshold)
-    return x.join(y, "gram").filter(fit & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    return x.join(shuffled(y), "gram").filter(fit & (F.col("a") < F.col("b"))).select("a", "b").distinct()
 
 
 def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFrame:
@@ -94,13 +99,13 @@ def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.85)
 
     Different texts are compared once, however many rows have them."""
     rows = rows.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
-    same = rows.select(F.col("id").alias("a"), "text").join(rows.select(F.col("id").alias("b"), "text"), "text").filter("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    same = rows.select(F.col("id").alias("a"), "text").join(shuffled(rows.select(F.col("id").alias("b"), "text")), "text").filter("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
     # The least row of a text stands for it.
     first = rows.groupBy("text").agg(F.min("id").alias("id"))
     short = prefixes(first, threshold)
     found = _verified(meetings(short, short, threshold), first, first, threshold)
-    member = rows.join(first.withColumnRenamed("id", "first"), "text").select("first", "id")
-    pairs = found.join(member.select(F.col("first").alias("a"), F.col("id").alias("p")), "a").join(member.select(F.col("first").alias("b"), F.col("id").alias("q")), "b")
+    member = rows.join(shuffled(first.withColumnRenamed("id", "first")), "text").select("first", "id")
+    pairs = found.join(shuffled(member.select(F.col("first").alias("a"), F.col("id").alias("p"))), "a").join(shuffled(member.select(F.col("first").alias("b"), F.col("id").alias("q"))), "b")
     return same.union(pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity"))
 
 
@@ -111,18 +116,18 @@ def _settled(pairs: DataFrame, block: DataFrame) -> DataFrame:
     member goes to its least leader, which is settled once everybody before it is."""
     left, done = kept(block.select("id")), None
     while not left.isEmpty():
-        open_ = kept(pairs.join(left.select(F.col("id").alias("a")), "a", "left_semi").join(left.select(F.col("id").alias("b")), "b", "left_semi"))
-        leaders = left.join(open_.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
-        joined = open_.join(leaders.select(F.col("id").alias("a")), "a", "left_semi").groupBy("b").agg(F.min("a").alias("leader")).withColumnRenamed("b", "id")
+        open_ = kept(pairs.join(shuffled(left.select(F.col("id").alias("a"))), "a", "left_semi").join(shuffled(left.select(F.col("id").alias("b"))), "b", "left_semi"))
+        leaders = left.join(shuffled(open_.select(F.col("b").alias("id")).distinct()), "id", "left_anti")
+        joined = open_.join(shuffled(leaders.select(F.col("id").alias("a"))), "a", "left_semi").groupBy("b").agg(F.min("a").alias("leader")).withColumnRenamed("b", "id")
         now = kept(leaders.withColumn("leader", F.col("id")).union(joined))
         done = now if done is None else done.union(now)
-        left = kept(left.join(now, "id", "left_anti"))
+        left = kept(left.join(shuffled(now), "id", "left_anti"))
     if done is None:
         return block.select("id", F.col("id").alias("leader"))
     # A member may be similar to a leader of a later round that stands before the one it was given to first.
     led = done.filter("id = leader").select(F.col("id").alias("a"))
-    least = pairs.join(led, "a", "left_semi").groupBy("b").agg(F.min("a").alias("least")).withColumnRenamed("b", "id")
-    return done.join(least, "id", "left").select("id", F.when(F.col("id") == F.col("leader"), F.col("id")).otherwise(F.least("leader", "least")).alias("leader"))
+    least = pairs.join(shuffled(led), "a", "left_semi").groupBy("b").agg(F.min("a").alias("least")).withColumnRenamed("b", "id")
+    return done.join(shuffled(least), "id", "left").select("id", F.when(F.col("id") == F.col("leader"), F.col("id")).otherwise(F.least("leader", "least")).alias("leader"))
 
 
 def leader_clusters(rows: DataFrame, order: str, text: str, threshold: float = 0.85, block: int = BLOCK) -> DataFrame:
@@ -137,19 +142,19 @@ def leader_clusters(rows: DataFrame, order: str, text: str, threshold: float = 0
     while not left.isEmpty():
         last, size = last + size, 2 * size
         part, later = left.filter(F.col("id") < last), left.filter(F.col("id") >= last)
-        mine = short.join(part.select("id"), "id", "left_semi")
+        mine = short.join(shuffled(part.select("id")), "id", "left_semi")
         now = kept(_settled(kept(_verified(meetings(mine, mine, threshold), part, part, threshold)), part))
-        led = part.join(now.filter("id = leader").select("id"), "id", "left_semi")
-        leaders, others = short.join(led.select("id"), "id", "left_semi"), short.join(later.select("id"), "id", "left_semi")
+        led = part.join(shuffled(now.filter("id = leader").select("id")), "id", "left_semi")
+        leaders, others = short.join(shuffled(led.select("id")), "id", "left_semi"), short.join(shuffled(later.select("id")), "id", "left_semi")
         hit = _verified(meetings(leaders, others, threshold), led, later, threshold).groupBy("b").agg(F.min("a").alias("leader")).withColumnRenamed("b", "id")
         now = kept(now.union(hit))
         done = now if done is None else done.union(now)
-        left = kept(later.join(now, "id", "left_anti"))
+        left = kept(later.join(shuffled(now), "id", "left_anti"))
     if done is None:
         return rows.select(F.col("o").alias(order), F.col("o").alias("leader"))
     heads = texts.select(F.col("id").alias("leader"), F.col("first").alias("head"))
-    named = done.join(heads, "leader").join(texts, "id").select("text", "head")
-    return rows.join(named, "text").select(F.col("o").alias(order), F.col("head").alias("leader"))
+    named = done.join(shuffled(heads), "leader").join(shuffled(texts), "id").select("text", "head")
+    return rows.join(shuffled(named), "text").select(F.col("o").alias(order), F.col("head").alias("leader"))
 
 
 def suspicious_clusters(clusters: DataFrame, order: str, k: int = 10) -> DataFrame:

@@ -80,3 +80,12 @@ def test_leaders_equal_a_pass_in_order(spark, threshold, block, seed):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "k long, t string")
     assert similarity.leader_clusters(empty, "k", "t").collect() == [] and similarity.similar_pairs(empty, "k", "t").collect() == []
+
+
+def test_no_join_of_the_clusters_is_broadcast(spark):
+    rows = spark.createDataFrame(list(enumerate(texts(60, 5))), "id long, text string").filter("text IS NOT NULL")
+    short = similarity.prefixes(rows, 0.7)
+    found = similarity._verified(similarity.meetings(short, short, 0.7), rows, rows, 0.7)
+    found.count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
