@@ -1,4 +1,5 @@
 """Edit-distance joins by an index of q-grams, and greedy leaders found in rounds: no pair is compared that shares no rare q-gram.
+Where few leaders stand for many rows, each row is compared with these alone, as it is read, and nothing is shuffled.
 
 Two texts of at most n letters with k edits between them share n - q + 1 - q k of their q-grams, each counted as often as it occurs. So with
 every text's q-grams in one order, rare ones first, the first q k + 1 of one text have one in common with the first of the other. These
@@ -8,18 +9,25 @@ prefixes meet in a join; what meets and is of fitting length is compared by Spar
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources.tables import kept, numbered
+from ..functions.edits import first_leaders, first_near
+from ..sources.tables import kept, numbered, written
 
 #: Texts that are compared with each other in the first round of leaders; every round takes twice as many.
 BLOCK = 1024
+#: Leaders of a block that every row may be compared with, and letters of the longest texts that are.
+FEW, LETTERS = 64, 512
+#: The most rows among which such leaders are looked for at once, and the share of the rows, one in so many, that they must settle if others are to be looked for.
+WIDE, SHARE = 1 << 14, 16
 #: Rows of q-grams sent on at once.
 ROWS = 1 << 16
 
@@ -130,13 +138,58 @@ def _settled(pairs: DataFrame, block: DataFrame) -> DataFrame:
     return done.join(shuffled(least), "id", "left").select("id", F.when(F.col("id") == F.col("leader"), F.col("id")).otherwise(F.least("leader", "least")).alias("leader"))
 
 
-def leader_clusters(rows: DataFrame, order: str, text: str, threshold: float = 0.85, block: int = BLOCK) -> DataFrame:
+def _first_of(leaders: list[str], threshold: float) -> Callable[[Column], Column]:
+    """The number of the first of some texts that a text is similar to, or null."""
+
+    @F.arrow_udf(T.IntegerType())
+    def near(text: pa.Array) -> pa.Array:
+        at = first_near(text.to_pylist(), leaders, threshold)
+        return pa.array(at, mask=at < 0)
+
+    return near
+
+
+def _led_by_few(rows: DataFrame, threshold: float, block: int, few: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """(o, leader) of those rows (o, text) that a few leaders settle, and the rows left, None if none are.
+
+    The leaders among the first rows lead whatever comes later, so each row joins the first of them that it is similar to; the rows left begin
+    again with their own first, in a larger block. Goes on while a block has at most few leaders and these settle one row in SHARE,
+    so all passes together look at no more than SHARE times the rows."""
+    done, kind = [], T.StructType([T.StructField("at", T.IntegerType()), T.StructField("leader", rows.schema["o"].dataType)])
+    while True:
+        # The first rows of each task meet in one, and only the block comes to the driver; of longer texts, as much as shows that they are.
+        head = kept(rows.select("o", F.substring("text", 1, LETTERS + 1).alias("text")).orderBy("o", "text").limit(block)).orderBy("o", "text").collect()
+        if not head:
+            return done, None
+        found = first_leaders([r.text for r in head], threshold, few, int(LETTERS * threshold))
+        if found is None:
+            return done, rows
+        at = _first_of([head[k].text for k in found], threshold)(F.when(F.length("text") <= LETTERS, F.col("text")).otherwise(""))
+        seen = written(rows.withColumn("at", at).withColumn("text", F.when(F.col("at").isNull(), F.col("text"))), "leaders")
+        heads = rows.sparkSession.createDataFrame([(i, head[k].o) for i, k in enumerate(found)], kind)
+        done.append(seen.filter("at IS NOT NULL").join(F.broadcast(heads), "at").select("o", "leader"))  # at most few rows
+        rows, block = seen.filter("at IS NULL").select("o", "text"), max(block, min(4 * block, WIDE))
+        n, settled = seen.agg(F.count("*"), F.count("at")).first()
+        if SHARE * settled < n:
+            return done, rows
+
+
+def leader_clusters(rows: DataFrame, order: str, text: str, threshold: float = 0.85, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """(order, leader) of each row with a text: rows come in order, and each joins the first leader before it that it is similar to, or leads.
 
+    Rows of which a block has few leaders are compared with these as they are read; what is left, by q-grams. `leader` is the order of the cluster's first row."""
+    rows = rows.select(F.col(order).alias("o"), F.col(text).alias("text")).filter("text <> '' AND o IS NOT NULL")
+    done, left = _led_by_few(rows, threshold, block, few)
+    parts = done if left is None else [*done, _led_in_blocks(left, threshold, block)]
+    return reduce(DataFrame.union, parts or [rows.select("o", F.col("o").alias("leader"))]).select(F.col("o").alias(order), "leader")
+
+
+def _led_in_blocks(rows: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(o, leader) of rows (o, text).
+
     Equal texts act alike, so each is settled once, by its first row. Texts are settled in blocks that double: a block is compared
     within itself, then everything later is compared with the block's leaders only and what is similar to one is settled too. So a family
-    of many variants is never compared pair by pair. `leader` is the order of the cluster's first row."""
-    rows = rows.select(F.col(order).alias("o"), F.col(text).alias("text")).filter("text <> '' AND o IS NOT NULL")
+    of many variants is never compared pair by pair."""
     texts = kept(numbered(rows.groupBy("text").agg(F.min("o").alias("first")), "first", 0, "id"))
     short, left, done, last, size = kept(prefixes(texts, threshold)), texts.select("id", "text"), None, 0, block
     while not left.isEmpty():
@@ -151,10 +204,10 @@ def leader_clusters(rows: DataFrame, order: str, text: str, threshold: float = 0
         done = now if done is None else done.union(now)
         left = kept(later.join(shuffled(now), "id", "left_anti"))
     if done is None:
-        return rows.select(F.col("o").alias(order), F.col("o").alias("leader"))
+        return rows.select("o", F.col("o").alias("leader"))
     heads = texts.select(F.col("id").alias("leader"), F.col("first").alias("head"))
     named = done.join(shuffled(heads), "leader").join(shuffled(texts), "id").select("text", "head")
-    return rows.join(shuffled(named), "text").select(F.col("o").alias(order), F.col("head").alias("leader"))
+    return rows.join(shuffled(named), "text").select("o", F.col("head").alias("leader"))
 
 
 def suspicious_clusters(clusters: DataFrame, order: str, k: int = 10) -> DataFrame:

@@ -34,6 +34,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows written as Parquet to the folder for checkpoints: smaller than kept, and read by columns."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def placed(rows: DataFrame, name: str, first: int = 0) -> DataFrame:
     """rows with consecutive numbers in the order in which their partitions lie: partitions are counted, and only their counts meet in a running sum.
 

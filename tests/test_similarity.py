@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from sluiceworks.functions import edits
 from sluiceworks.operators import similarity
 
 
@@ -89,3 +90,37 @@ def test_no_join_of_the_clusters_is_broadcast(spark):
     found.count()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_distances_of_many_texts_to_one():
+    r = random.Random(7)
+    for size in (1, 5, 63, 64, 65, 128, 129, 200):
+        one = "".join(r.choice("abé\U0001f600") for _ in range(size))
+        many = ["", one, one[::-1], one[1:], one + "xy", one[: size // 2], "z" * size, *("".join(r.choice("abé") for _ in range(n)) for n in (3, 64, 70))]
+        letters, sizes, order = edits.columns(many)
+        found = dict(zip(order.tolist(), edits.distances(letters, sizes, one).tolist(), strict=True))
+        assert [found[i] for i in range(len(many))] == [distance(t, one) for t in many]
+    assert edits.first_near([], ["a"], 0.85).tolist() == [] and edits.first_leaders(["ab", "cd", "ab"], 0.85, 2, 9) == [0, 1]
+    assert edits.first_leaders(["ab", "cd", "ab"], 0.85, 1, 9) is None and edits.first_leaders(["ab"], 0.85, 1, 1) is None
+
+
+def test_rows_with_few_leaders_need_no_index(spark, monkeypatch):
+    """Numbers grow from block to block, so that later blocks bring leaders of their own."""
+    monkeypatch.setattr(similarity, "prefixes", lambda *_: pytest.fail("an index of q-grams"))
+    monkeypatch.setattr(similarity, "WIDE", 32)
+    r = random.Random(9)
+    values = [f"the user {r.randrange(10 ** (1 + k // 60), 10 ** (2 + k // 60))} did {r.choice(['view', 'purchase', 'click'])} it" for k in range(300)]
+    rows = [*((3 * k + 1, t) for k, t in enumerate(values)), (2, None), (5, ""), (8, values[0])]
+    got = {r.k: r.leader for r in similarity.leader_clusters(spark.createDataFrame(rows, "k long, t string").repartition(3), "k", "t", 0.85, 16).collect()}
+    assert got == leaders(rows, 0.85) and len(set(got.values())) > 3
+
+
+@pytest.mark.parametrize("few", [0, 3, 64])
+def test_leaders_by_few_and_by_index_are_the_same(spark, few):
+    """Long texts, and more leaders than a row is compared with, are left to the index; keys may be texts."""
+    r = random.Random(few)
+    long = ["".join(r.choice("abcdefg ") for _ in range(n)) for n in (430, 500, 520)]
+    values = [*texts(40, 11), *(t[:9] + "!" * r.randint(0, 70) + t[9:] for t in long for _ in range(3))]
+    rows = [(f"{k:04}", t) for k, t in enumerate(values)]
+    got = {r.k: r.leader for r in similarity.leader_clusters(spark.createDataFrame(rows, "k string, t string"), "k", "t", 0.85, 8, few).collect()}
+    assert got == leaders(rows, 0.85)
