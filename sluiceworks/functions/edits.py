@@ -69,14 +69,12 @@ def first_near(texts: list[str], leaders: list[str], threshold: float) -> np.nda
     return out
 
 
-def first_leaders(texts: list[str], threshold: float, few: int, longest: int) -> list[int] | None:
-    """Numbers of the texts that lead, if each joins the first leader before it that it is similar to; None if more than few do or one is longer."""
+def first_leaders(texts: list[str], threshold: float, few: int, longest: int) -> tuple[list[int], int]:
+    """Numbers of the texts that lead, if each joins the first leader before it that it is similar to, and how many join one: the first few leaders, up to one that is longer."""
     left, out = list(range(len(texts))), []
-    while left:
+    while left and len(out) < few and len(texts[left[0]]) <= longest:
         first, *left = left
-        if len(out) == few or len(texts[first]) > longest:
-            return None
         out.append(first)
         near = first_near([texts[i] for i in left], [texts[first]], threshold)
         left = [i for i, k in zip(left, near, strict=True) if k < 0]
-    return out
+    return out, len(texts) - len(out) - len(left)

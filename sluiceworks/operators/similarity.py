@@ -24,7 +24,7 @@ from ..sources.tables import kept, numbered, written
 
 #: Texts that are compared with each other in the first round of leaders; every round takes twice as many.
 BLOCK = 1024
-#: Leaders of a block that every row may be compared with, and letters of the longest texts that are.
+#: The most leaders of a block that every row is compared with, and letters of the longest texts that are.
 FEW, LETTERS = 64, 512
 #: The most rows among which such leaders are looked for at once, and the share of the rows, one in so many, that they must settle if others are to be looked for.
 WIDE, SHARE = 1 << 14, 16
@@ -152,17 +152,17 @@ def _first_of(leaders: list[str], threshold: float) -> Callable[[Column], Column
 def _led_by_few(rows: DataFrame, threshold: float, block: int, few: int) -> tuple[list[DataFrame], DataFrame | None]:
     """(o, leader) of those rows (o, text) that a few leaders settle, and the rows left, None if none are.
 
-    The leaders among the first rows lead whatever comes later, so each row joins the first of them that it is similar to; the rows left begin
-    again with their own first, in a larger block. Goes on while a block has at most few leaders and these settle one row in SHARE,
-    so all passes together look at no more than SHARE times the rows."""
+    The first leaders of the first rows lead whatever comes later, so each row joins the first of them that it is similar to; the rows left begin
+    again with their own first, in a larger block. Goes on while few leaders settle one row in SHARE, in the block and then of all,
+    so all passes together look at no more than SHARE times the rows. A text that is too long to be compared ends the leaders of its block."""
     done, kind = [], T.StructType([T.StructField("at", T.IntegerType()), T.StructField("leader", rows.schema["o"].dataType)])
     while True:
         # The first rows of each task meet in one, and only the block comes to the driver; of longer texts, as much as shows that they are.
         head = kept(rows.select("o", F.substring("text", 1, LETTERS + 1).alias("text")).orderBy("o", "text").limit(block)).orderBy("o", "text").collect()
         if not head:
             return done, None
-        found = first_leaders([r.text for r in head], threshold, few, int(LETTERS * threshold))
-        if found is None:
+        found, joined = first_leaders([r.text for r in head], threshold, few, int(LETTERS * threshold))
+        if not found or len(found) == few and SHARE * joined < len(head):
             return done, rows
         at = _first_of([head[k].text for k in found], threshold)(F.when(F.length("text") <= LETTERS, F.col("text")).otherwise(""))
         seen = written(rows.withColumn("at", at).withColumn("text", F.when(F.col("at").isNull(), F.col("text"))), "leaders")
@@ -177,7 +177,7 @@ def _led_by_few(rows: DataFrame, threshold: float, block: int, few: int) -> tupl
 def leader_clusters(rows: DataFrame, order: str, text: str, threshold: float = 0.85, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """(order, leader) of each row with a text: rows come in order, and each joins the first leader before it that it is similar to, or leads.
 
-    Rows of which a block has few leaders are compared with these as they are read; what is left, by q-grams. `leader` is the order of the cluster's first row."""
+    Where few leaders stand for many rows, rows are compared with these as they are read; what is left, by q-grams. `leader` is the order of the cluster's first row."""
     rows = rows.select(F.col(order).alias("o"), F.col(text).alias("text")).filter("text <> '' AND o IS NOT NULL")
     done, left = _led_by_few(rows, threshold, block, few)
     parts = done if left is None else [*done, _led_in_blocks(left, threshold, block)]

@@ -100,8 +100,8 @@ def test_distances_of_many_texts_to_one():
         letters, sizes, order = edits.columns(many)
         found = dict(zip(order.tolist(), edits.distances(letters, sizes, one).tolist(), strict=True))
         assert [found[i] for i in range(len(many))] == [distance(t, one) for t in many]
-    assert edits.first_near([], ["a"], 0.85).tolist() == [] and edits.first_leaders(["ab", "cd", "ab"], 0.85, 2, 9) == [0, 1]
-    assert edits.first_leaders(["ab", "cd", "ab"], 0.85, 1, 9) is None and edits.first_leaders(["ab"], 0.85, 1, 1) is None
+    assert edits.first_near([], ["a"], 0.85).tolist() == [] and edits.first_leaders(["ab", "cd", "ab"], 0.85, 2, 9) == ([0, 1], 1)
+    assert edits.first_leaders(["ab", "cd", "ab"], 0.85, 1, 9) == ([0], 1) and edits.first_leaders(["ab", "cde", "ab"], 0.85, 9, 2) == ([0], 1) and edits.first_leaders(["ab"], 0.85, 1, 1) == ([], 0)
 
 
 def test_rows_with_few_leaders_need_no_index(spark, monkeypatch):
@@ -117,7 +117,7 @@ def test_rows_with_few_leaders_need_no_index(spark, monkeypatch):
 
 @pytest.mark.parametrize("few", [0, 3, 64])
 def test_leaders_by_few_and_by_index_are_the_same(spark, few):
-    """Long texts, and more leaders than a row is compared with, are left to the index; keys may be texts."""
+    """Long texts, and rows of more leaders than they are compared with, are left to the index; keys may be texts."""
     r = random.Random(few)
     long = ["".join(r.choice("abcdefg ") for _ in range(n)) for n in (430, 500, 520)]
     values = [*texts(40, 11), *(t[:9] + "!" * r.randint(0, 70) + t[9:] for t in long for _ in range(3))]
